@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm import bpe
-from siltstone.llm.common import documents
+from siltstone.llm import bpe, langid, quality
+from siltstone.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,3 +33,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded bytes of every document."""
     ranks, pattern = tokenizer_file()
     return bpe.encode_decode(documents(spark, sf_dir).select("doc_id", "text"), ranks, pattern)
+
+
+@_query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated quality probability of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+    vectors = quality.context_vectors(docs)
+    net = quality.learn(docs, labels, vectors)
+    out = quality.score(docs, vectors, net)
+    return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@_query
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    docs = documents(spark, sf_dir)
+    model = langid.learn(docs.where(fold("doc_id", 4) != 2))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
