@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, quality
+from siltstone.llm import bpe, langid, lm, quality
 from siltstone.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +54,13 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs.where(fold("doc_id", 4) != 2))
     out = langid.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probability of every document."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    counts, vocab, model = lm.learn(docs.where(fold("doc_id", 7) != 2))
+    out = lm.score(docs, counts, vocab, model)
+    held_out = (fold("doc_id", 7) == 2).alias("held_out")
+    return out.select("doc_id", held_out, "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
