@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, lm, quality
+from siltstone.llm import bpe, langid, lm, neardup, quality
 from siltstone.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,9 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score(docs, counts, vocab, model)
     held_out = (fold("doc_id", 7) == 2).alias("held_out")
     return out.select("doc_id", held_out, "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@_query
+def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
