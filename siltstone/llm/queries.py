@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, lm, neardup, quality
+from siltstone.llm import bpe, langid, lm, media, neardup, quality, sharding
 from siltstone.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,26 @@ def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return neardup.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@_query
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in 24 shuffled shards, from the written shards."""
+    out = sharding.shuffled_shards(documents(spark, sf_dir), 24)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return out.select(
+        "doc_id",
+        sharding.size_of(F.col("text")).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("key").alias("law"),
+        "shard",
+        "slot",
+        "grown_shard",
+    )
+
+
+@_query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of every document's payload as stored and read back."""
+    out = media.document_media(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
