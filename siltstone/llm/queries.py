@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, lm, media, neardup, quality, sharding
+from siltstone.llm import bpe, langid, lm, media, neardup, quality, sharding, topk
 from siltstone.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,26 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and features of every document's payload as stored and read back."""
     out = media.document_media(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
+@_query
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten greatest inner products of every hundredth vector with all others."""
+    vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding")
+    return topk.top_k(vectors.where("key % 100 = 0"), vectors)
+
+
+ORACLE_SQL["op2_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+), s AS (
+  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
