@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe, langid, lm, media, neardup, quality, sharding, topk
+from siltstone.llm import bpe, langid, lm, media, mixing, neardup, pii, quality, sharding, topk
 from siltstone.llm.common import documents, fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -116,3 +116,28 @@ WITH v AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+#: Where a deployment has a secret of its own, it passes that instead.
+DEMONSTRATION_KEY = "siltstone demonstration key"
+
+#: Powers that flatten the shares of sources, languages and topics.
+FLATTENING = {"source": 0.5, "lang": 0.7, "topic": 0.7}
+
+
+@_query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates in place of personal data."""
+    return pii.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"), DEMONSTRATION_KEY)
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """Documents with tokens, probability and keep, raked by source, language and topic."""
+    dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
+    return mixing.mixed(docs, dims, mixing.token_count(F.col("text")), FLATTENING)
+
+
+@_query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sampling probability and whether it is drawn."""
+    return mixed_documents(documents(spark, sf_dir)).select("doc_id", "source", "lang", "tokens", "probability", "keep")
