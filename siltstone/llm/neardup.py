@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,12 +189,35 @@ def _verified(pairs: DataFrame, units: DataFrame) -> DataFrame:
     return met.select("a", "b", (both / (F.size("ua") + F.size("ub") - both)).alias("similarity"))
 
 
-def links(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
-    """(exact classes: uid, a; verified links between classes: a, b) of ``df`` with a column uid.
+def _split(parted: DataFrame) -> DataFrame:
+    """The rows of buckets with two fragments or more."""
+    split = parted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return parted.join(split, "key", "left_semi")
 
-    In every bucket all members are compared with its least one; those that aren't similar to it are
-    compared with more representatives of what is left, eight times as many in every round, until each
-    member has found a representative or has met all. A bucket of n similar texts costs n comparisons.
+
+def _rare(parted: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
+    """(key, b, root, n, rank): every member under its rarest units, one more than a similar text could lack.
+
+    Texts at ``similarity`` share all but (1 - similarity) of each one's units at most, so with units ranked
+    by how many members have them (then by value) they share one of these: new buckets that lose no pair,
+    and that hold few members besides those that really are alike.
+    """
+    live = parted.select(F.col("b").alias("uid"), "root").distinct()
+    mine = units.join(live, "uid").select("uid", "root", F.size("units").alias("n"), F.explode("units").alias("key"))
+    mine = mine.join(mine.groupBy("key").agg(F.count("*").alias("times")), "key")
+    rank = F.row_number().over(Window.partitionBy("uid").orderBy("times", "key"))
+    kept = mine.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1)
+    return kept.where("times > 1").select(F.col("key").cast("long").alias("key"), F.col("uid").alias("b"), "root", "n", "rank")
+
+
+def connected(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """(exact classes: uid, a; classes that links connect: uid, root) of ``df`` with a column uid.
+
+    First every member of a bucket is compared with its least one. The links so far cut each bucket into
+    fragments; in buckets of several fragments, the members of all but the largest are compared with heads
+    of the other fragments, eight times as many in every round, until a bucket is one fragment or all of its
+    members have met; these buckets are by rare units (see _rare), so no pair among them goes unseen. So a
+    bucket of n similar texts costs about n comparisons.
     """
     sketch = stored(_sketch(df, "uid", text, bands, rows), "sketch")
     # Equal content first, so that copies cost one row each from here on.
@@ -203,31 +226,43 @@ def links(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: int =
     members = sketch.join(one.select(F.col("a").alias("uid")), "uid", "left_semi").select(F.explode("keys").alias("key"), F.col("uid").alias("b"))
     # Rows of buckets with two classes or more.
     least = members.groupBy("key").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    left = stored(members.join(least, "key"), "buckets").where("a <> b")
-    pairs = stored(left.select("a", "b").distinct(), "pairs")
+    bucket = stored(members.join(least, "key"), "buckets")
+    pairs = stored(bucket.where("a <> b").select("a", "b").distinct(), "pairs")
+    bucket = bucket.select("key", "b")
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "needed")
     units = stored(_units(df.join(needed, "uid", "left_semi"), text), "units")
-    found, tried, width = None, None, 1
+    roots, tried, width = None, None, 1
     while True:
         checked = stored(_verified(pairs, units), "checked")
         good = checked.where(F.col("similarity") >= similarity).select("a", "b")
-        found = good if found is None else found.unionByName(good)
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
+        # What is known to be connected is a star around its root, whatever links made it so.
+        roots = components(good if roots is None else good.unionByName(roots.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
+        parted = bucket.join(roots.withColumnRenamed("uid", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+        parted = _split(parted)
+        if width == 1:  # from here on, the buckets are exact
+            parted = _split(stored(_rare(stored(parted, "fragments"), units, similarity), "rare"))
+        parted = stored(parted, "fragments")
+        sizes = parted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("whole"))
+        most = largest.agg(F.max("whole")).first()[0] or 0
         while True:
-            # Members of a bucket that are similar to none of its representatives so far.
-            met = left.join(found.distinct().withColumn("good", F.lit(1)), ["a", "b"], "left")
-            rest = stored(met.groupBy("key", "b").agg(F.max("good").alias("good")).where("good is null").select("key", "b"), "rest")
-            largest = rest.groupBy("key").count().agg(F.max("count")).first()[0] or 0
-            if largest < 2 or width >= 8 * largest:
-                return classes, found
-            # More representatives: the least of each of ``width`` parts of a bucket.
+            if not most or width > 8 * most:
+                return classes, roots
             width *= 8
+            # The heads of a bucket: the least of each of ``width`` parts by hash.
             part = F.pmod(F.xxhash64("b", "key"), F.lit(width))
-            heads = rest.groupBy("key", part.alias("part")).agg(F.min("b").alias("a")).select("key", "a")
-            left = stored(rest.join(heads, "key").where("a < b"), "buckets")
-            pairs = stored(left.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            least_of = parted.groupBy("key", part.alias("part")).agg(F.min(F.struct("b", "root", "n", "rank")).alias("h"))
+            heads = least_of.select("key", F.col("h.b").alias("head"), F.col("h.root").alias("other"), F.col("h.n").alias("m"), F.col("h.rank").alias("place"))
+            small = parted.join(largest, "key").where(F.col("root") != F.col("largest.root")).select("key", "b", "root", "n", "rank")
+            # Of two texts that first meet at these ranks, no more units than follow can be shared.
+            reach = 1 + F.least(F.col("n") - F.col("rank"), F.col("m") - F.col("place"))
+            may = reach >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-9
+            met = small.join(heads, "key").where((F.col("root") != F.col("other")) & may).select(F.least("b", "head").alias("a"), F.greatest("b", "head").alias("b"))
+            pairs = stored(met.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
             if not pairs.isEmpty():
                 break
+        bucket = parted.drop("root")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,8 +303,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
 def _placed(df: DataFrame, key: str, text: str, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     bound_batches(df.sparkSession)
     placed = df.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("_key"), F.col(text).alias("_text"))
-    classes, found = links(placed, "_text", similarity, bands, rows)
-    roots = components(found)
+    classes, roots = connected(placed, "_text", similarity, bands, rows)
     grouped = classes.join(roots.withColumnRenamed("uid", "a"), "a", "left").select("uid", F.coalesce("root", "a").alias("root"))
     rows_ = placed.select("uid", "_key").join(grouped, "uid", "left").select("uid", "_key", F.coalesce("root", "uid").alias("root"))
     rows_ = stored(rows_, "classes")
