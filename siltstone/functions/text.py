@@ -64,7 +64,7 @@ def safe_uri(uri: Column) -> Column:
 def byte_size(n: Column) -> Column:
     """Bytes for people: steps of 1024 up to GB, one decimal above B."""
     x = n.cast("double")
-    step = lambda p, unit: F.concat(F.format_string("%.1f", x / float(1024**p)), F.lit(f" {unit}"))
+    step = lambda p, unit: F.concat(F.format_string("%.1f", F.bround(x / float(1024**p), 1)), F.lit(f" {unit}"))
     return F.when(x < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).when(x < 1024**2, step(1, "KB")).when(x < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
 
 
