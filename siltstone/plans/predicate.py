@@ -322,12 +322,12 @@ def resolver_for(df: DataFrame, dynamic: str = "dyn", subject: str = "participan
     return resolve
 
 
-def where(df: DataFrame, text: str | None = None, path: str = "path", subject: str = "sub", **filters: Literal | list) -> DataFrame:
+def where(df: DataFrame, text: str | None = None, /, **filters: Literal | list) -> DataFrame:
     """The rows of ``df`` that match; a filter on whole paths also becomes one on subjects, so that
     partitions and row groups of other subjects aren't read."""
     node = parse(text, **filters)
     out = df.where(compiled(node, resolver_for(df)))
     paths = paths_of(node)
-    if paths is not None and subject in df.columns:
-        out = out.where(F.col(subject).isin(sorted({p.partition("/")[0] for p in paths})))
+    if paths is not None and "sub" in df.columns:
+        out = out.where(F.col("sub").isin(sorted({p.partition("/")[0] for p in paths})))
     return out
