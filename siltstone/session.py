@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Settings the operators' results depend on (not tuning): UTC clocks, last key wins in maps.
@@ -24,3 +27,9 @@ def session(app: str = "siltstone", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return configure(builder.getOrCreate())
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path below the shared checkpoint folder; below a local one only where none is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(root or tempfile.gettempdir() + '/siltstone').rstrip('/')}/{what}-{uuid.uuid4().hex}"
