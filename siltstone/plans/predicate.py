@@ -177,7 +177,8 @@ def number_text(x: Column) -> Column:
     plain = F.regexp_replace(F.format_string("%.17f", x.cast("double")), r"0+$", "")
     small = F.concat(F.regexp_replace(F.regexp_extract(shortest, r"^(.*)E", 1), r"\.0$", ""), F.lit("e-"), F.lpad(F.regexp_extract(shortest, r"E-(\d+)$", 1), 2, "0"))
     other = F.when(~shortest.contains("E"), shortest).when(F.abs(x) < 1e-4, small).otherwise(plain)
-    return F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(other)
+    whole = F.when(x == F.floor(x), x.cast("decimal(38,0)").cast("string")).otherwise(other)
+    return F.when(x.isNotNull(), whole)  # a format would spell a null out
 
 
 @dataclass(frozen=True)

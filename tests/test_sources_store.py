@@ -153,3 +153,20 @@ def test_streams(spark, tmp_path):
     for name, made in (("windows", watch.window_counts(events, "ts", "1 day", "1 day", "event_type")), ("sessions", watch.session_counts(events, "ts", "1 hour", "1 day", "user_id"))):
         made.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start().awaitTermination()
         assert spark.table(name).count() > 0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from siltstone import cli
+
+    store = str(tmp_path / "store")
+    repo = Repository(spark, store)
+    repo.add(items(spark, ("s1/a", 1), ("s1/b", 20)))
+    first = repo.commit("first")
+    repo.add(items(spark, ("s2/a", 5)))
+    second = repo.commit("second")
+    assert cli.main([store, "query", "n > 4", "--columns", "path,n", "--csv"]) == 0
+    assert capsys.readouterr().out.split() == ["s1/b,20", "s2/a,5"]
+    assert cli.main([store, "diff", first, second, "--exit-code"]) == 1
+    assert cli.main([store, "query", "n ==="]) == 1
+    assert "error:" in capsys.readouterr().err
+    assert cli.main([store, "log", "-n", "1"]) == 0 and "second" in capsys.readouterr().out
