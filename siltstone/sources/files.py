@@ -113,7 +113,7 @@ def work_units(files: DataFrame) -> DataFrame:
     """(prefix, sub, ses, datatype, dir, n_bytes): what can be read apart, with its size."""
     from siltstone.operators.catalog import placed
 
-    at = placed(F.col("path"))
+    at = placed(F.concat("dir", F.lit("/item")))  # names repeat the subject, folders place the file
     rows = files.select(at["prefix"].alias("prefix"), at["sub"].alias("sub"), at["ses"].alias("ses"), at["datatype"].alias("datatype"), "dir", "length")
     return rows.where("sub is not null").groupBy("prefix", "sub", "ses", "datatype", "dir").agg(F.sum("length").alias("n_bytes"))
 
