@@ -70,7 +70,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, steps: int = 120, decay: float = 1e-3)
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     w, b = np.zeros(x.shape[1], np.float32), np.float32(0)
     vw, vb = w.copy(), b
-    rate = 1 / (2 * float(((x * x).sum(1) + 1) @ weight) + decay)
+    rate = 1 / (2 * float((np.einsum("ij,ij->i", x, x) + 1) @ weight) + decay)
     for step in range(steps):
         short = np.maximum(0, 1 - y * (x @ vw + vb))
         slope = -2 * weight * short * y
@@ -134,7 +134,8 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
         return model
     scale = 1 / (x.std(0) + 1e-4)
     mean = x.mean(0)
-    z = (x - mean) * scale / np.float32(np.sqrt(x.shape[1]))
+    z = x - mean
+    z *= scale / np.float32(np.sqrt(x.shape[1]))
     own, kin = np.array(languages), np.array([family_of(n) for n in languages])
     machines = []
     if len(model.families) > 1:
@@ -175,11 +176,12 @@ def learn(df: DataFrame, text: str = "text", language: str = "lang", key: str =
             value = [r[i] for r, i in zip(rows, index, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "i", "v"])
 
-    sample = chosen.select(language, text).mapInArrow(run, "lang string, i array<int>, v array<float>").toArrow().to_pylist()
-    x = np.zeros((len(sample), BUCKETS), np.float32)
-    for k, row in enumerate(sample):
-        x[k, row["i"]] = row["v"]
-    return fit(x, [row["lang"] for row in sample])
+    sample = chosen.select(language, text).mapInArrow(run, "lang string, i array<int>, v array<float>").toArrow()
+    index, value = (sample.column(c).combine_chunks() for c in ("i", "v"))
+    row = np.repeat(np.arange(sample.num_rows), index.value_lengths().to_numpy(zero_copy_only=False))
+    x = np.zeros((sample.num_rows, BUCKETS), np.float32)
+    x[row, index.flatten().to_numpy()] = value.flatten().to_numpy()
+    return fit(x, sample.column("lang").to_pylist())
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
