@@ -17,6 +17,9 @@ MISSING = "\u0000missing"
 
 ITERATIONS, TOLERANCE = 50, 1e-4
 
+#: The share of all tokens that a sample has at least, however scarce some cells are.
+LEAST_KEPT = 0.25
+
 
 def _times(text: Column, sign: str) -> Column:
     """Bytes that occurrences of a sign take; whole-string search, no loop over characters."""
@@ -55,14 +58,33 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.join(F.broadcast(whole), F.lit(True)).select("value", (F.col("p") / F.col("whole")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
+def _within(shares: DataFrame, live: DataFrame, dim: str, size: float) -> DataFrame:
+    """Shares of a sample of ``size`` tokens: a value that has too few gives all, the others share the rest."""
+    room = live.groupBy(dim).agg((F.sum("n") / F.lit(size)).alias("room"))
+    known = stored(shares.join(room, dim), "rooms")
+    scale = 1.0
+    while True:  # grows until no further value runs out
+        out = F.col("share") * F.lit(scale) >= F.col("room")
+        full, rest = known.agg(F.sum(F.when(out, F.col("room")).otherwise(0.0)), F.sum(F.when(~out, F.col("share")))).first()
+        if rest is None or (1.0 - full) / rest <= scale * (1 + 1e-12):
+            break
+        scale = (1.0 - full) / rest
+    return stored(known.select(dim, F.least(F.col("share") * F.lit(scale), "room").alias("share")), "target")
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, DataFrame], iterations: int = ITERATIONS, tolerance: float = TOLERANCE, size: float | None = None
+) -> DataFrame:
     """``cells`` with w: weights that sum to one and meet every target share, in proportion to n otherwise.
 
     A value without a target, and a target without cells, count as nothing: the other shares of that column
     are scaled up. Stops when no share is off by more than ``tolerance``, or after ``iterations`` rounds if
     the targets contradict each other.
+
+    With a ``size``, a sample of so many tokens, no cell weighs more than it has (n / size): a cell that
+    would is taken whole, and the rest is raked anew to the same targets. A column w is where it starts from.
     """
-    live = cells.withColumn("w", F.col("n").cast("double"))
+    live = cells.withColumn("w", (F.col("w") if "w" in cells.columns else F.col("n")).cast("double"))
     shares = {}
     for dim, target in targets.items():
         given = target.groupBy(F.coalesce(F.col("value").cast("string"), F.lit(MISSING)).alias(dim)).agg(F.sum("share").alias("share")).where("share > 0")
@@ -73,11 +95,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int = ITER
         present = shares[dim].join(live.select(dim).distinct(), dim, "left_semi")
         whole = present.agg(F.sum("share")).first()[0]
         shares[dim] = stored(present.withColumn("share", F.col("share") / F.lit(whole or 1.0)), "target")
+        if size:
+            shares[dim] = _within(shares[dim], live, dim, size)
+    cap = F.col("n") / F.lit(size) if size else F.lit(float("inf"))
+    whole, part = F.when(F.col("w") >= cap, cap), F.when(F.col("w") < cap, F.col("w"))
     for _ in range(iterations):
         off = []
         for dim, target in shares.items():
-            sums = live.groupBy(dim).agg(F.sum("w").alias("sum")).join(target, dim)
-            factor = sums.select(dim, (F.col("share") / F.col("sum")).alias("factor"), (F.col("sum") - F.col("share")).alias("off"))
+            sums = live.groupBy(dim).agg(F.sum("w").alias("sum"), F.coalesce(F.sum(whole), F.lit(0.0)).alias("whole"), F.sum(part).alias("part")).join(target, dim)
+            # Both are bounds from below; the second is exact once it is known which cells are taken whole.
+            factor = F.greatest(F.col("share") / F.col("sum"), (F.col("share") - F.col("whole")) / F.col("part"))
+            factor = sums.select(dim, factor.alias("factor"), (F.col("whole") + F.coalesce("part", F.lit(0.0)) - F.col("share")).alias("off"))
             live = live.join(factor.select(dim, "factor", F.abs("off").alias(f"off_{dim}")), dim).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
             off.append(f"off_{dim}")
         done = stored(live, "cells")
@@ -85,16 +113,17 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], iterations: int = ITER
         live = done.drop(*off)
         if worst is None or worst <= tolerance:
             break
-    return live
+    return live.withColumn("w", F.least("w", cap))
 
 
-def mixed(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | dict[str, float], key: str = "doc_id", seed: str = "mix") -> DataFrame:
+def mixed(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | dict[str, float], key: str = "doc_id", seed: str = "mix", least: float = LEAST_KEPT) -> DataFrame:
     """Every row of ``df`` with tokens, probability and keep.
 
     ``targets`` gives for each column a table (value, share), or the power that flattens its own shares. A
     cell's probability is in proportion to its raked weight over its tokens, and the greatest is one: so the
-    kept tokens meet the targets in the mean, without repeating a row, and no larger sample could. Rows are
-    kept by a hash of key and seed, so copies of a key share their fate. Rows without tokens or of a value
+    kept tokens meet the targets in the mean, without repeating a row. A scarce cell would thin all others;
+    so where that leaves less than ``least`` of the tokens, the sample has exactly this share of them in the
+    mean: cells with too few tokens are taken whole and the rest is raked anew (see rake). Rows are kept by a hash of key and seed, so copies of a key share their fate. Rows without tokens or of a value
     without a target have probability 0. Missing values are a value of their own. Added columns: tokens,
     probability, keep; older columns of those names get a leading underscore.
     """
@@ -106,9 +135,13 @@ def mixed(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[
     cells = stored(cells_of(df, dims, tokens), "cells")
     tables = {d: flattened(cells, d, t) if isinstance(t, (int, float)) else t for d, t in targets.items()}
     raked = rake(cells, tables)
-    rate = raked.withColumn("rate", F.col("w") / F.col("n"))
-    most = rate.agg(F.max("rate")).first()[0] or 1.0
-    rate = stored(rate.select(*[F.col(d).alias(spare[d]) for d in dims], F.least(F.lit(1.0), F.col("rate") / F.lit(most)).alias("probability")), "rates")
+    most, whole = raked.agg(F.max(F.col("w") / F.col("n")), F.sum("n")).first()
+    size = 1.0 / most if most else 1.0
+    if whole and size < least * whole:
+        size = least * whole
+        raked = rake(raked, tables, size=size)
+    rate = F.least(F.lit(1.0), F.col("w") / F.col("n") * F.lit(size)).alias("probability")
+    rate = stored(raked.select(*[F.col(d).alias(spare[d]) for d in dims], rate), "rates")
     out = rows.join(rate, list(spare.values()), "left")
     chance = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / float(1 << 40)

@@ -50,3 +50,31 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.tokens, r._keep) for r in got) == [(0, 40_000, 9), (1, 0, 9), (2, 0, 9), (3, 3, 9), (3, 3, 9)]
     assert all(r.probability == 0 and not r.keep for r in got if r.tokens == 0)
     assert mixing.mixed(df.limit(0), dims, mixing.token_count(F.col("text")), {"source": 0.5, "lang": 0.5}).count() == 0
+
+
+def test_a_scarce_cell_does_not_thin_the_rest(spark):
+    rows = [(k, "w " * 50, f"s{k % 3}", "en" if k % 5 else "de") for k in range(600)] + [(600, "five words of one source", "rare", "en"), (601, "w " * 40, None, "fr")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    dims = {"source": F.col("source"), "lang": F.col("lang")}
+    got = mixing.mixed(df, dims, mixing.token_count(F.col("text")), {"source": 0.5, "lang": 0.7}).toPandas()
+    got["expected"] = got.tokens * got.probability
+    assert got.probability.between(0, 1).all() and got.probability.max() == 1
+    assert abs(got.expected.sum() / got.tokens.sum() - mixing.LEAST_KEPT) < 1e-3
+    assert (got[got.doc_id >= 600].probability > 0.999).all()
+    # The rest has the shares of the targets among themselves.
+    rest = got[got.doc_id < 600]
+    lang = rest.groupby("lang").tokens.sum() ** 0.7
+    reached = rest.groupby("lang").expected.sum()
+    assert abs(reached["de"] / reached["en"] - lang["de"] / lang["en"]) < 0.02
+    source = rest.groupby("source").expected.sum()
+    assert source.max() / source.min() < 1.01
+
+
+def test_raking_within_a_size_by_brute_force(spark):
+    cells = {("x", "1"): 1000, ("x", "2"): 100, ("y", "1"): 500, ("y", "2"): 600}
+    df = spark.createDataFrame([(*k, n) for k, n in cells.items()], "a string, b string, n long")
+    tables = {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in {"a": {"x": 0.5, "y": 0.5}, "b": {"1": 0.5, "2": 0.5}}.items()}
+    got = {(r.a, r.b): r.w for r in mixing.rake(df, tables, tolerance=1e-5, size=1000.0).collect()}
+    # All hundred tokens of (x, 2) are taken; the margins fix the others.
+    want = {("x", "1"): 0.4, ("x", "2"): 0.1, ("y", "1"): 0.1, ("y", "2"): 0.4}
+    assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
