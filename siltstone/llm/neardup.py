@@ -215,9 +215,9 @@ def connected(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: i
 
     First every member of a bucket is compared with its least one. The links so far cut each bucket into
     fragments; in buckets of several fragments, the members of all but the largest are compared with heads
-    of the other fragments, eight times as many in every round, until a bucket is one fragment or all of its
-    members have met; these buckets are by rare units (see _rare), so no pair among them goes unseen. So a
-    bucket of n similar texts costs about n comparisons.
+    of the other fragments, eight times as many in every round and at last all members, until a bucket is one
+    fragment or all of its members have met; these buckets are by rare units (see _rare), so no pair among
+    them goes unseen. So a bucket of n similar texts costs about n comparisons.
     """
     sketch = stored(_sketch(df, "uid", text, bands, rows), "sketch")
     # Equal content first, so that copies cost one row each from here on.
@@ -231,7 +231,7 @@ def connected(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: i
     bucket = bucket.select("key", "b")
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "needed")
     units = stored(_units(df.join(needed, "uid", "left_semi"), text), "units")
-    roots, tried, width = None, None, 1
+    roots, tried, width, every = None, None, 1, False
     while True:
         checked = stored(_verified(pairs, units), "checked")
         good = checked.where(F.col("similarity") >= similarity).select("a", "b")
@@ -247,12 +247,15 @@ def connected(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: i
         largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("whole"))
         most = largest.agg(F.max("whole")).first()[0] or 0
         while True:
-            if not most or width > 8 * most:
+            if not most or every:
                 return classes, roots
             width *= 8
+            # Two members can share a part at any width, so the last round takes each as a head of its own.
+            every = width > 8 * most
             # The heads of a bucket: the least of each of ``width`` parts by hash.
             part = F.pmod(F.xxhash64("b", "key"), F.lit(width))
-            least_of = parted.groupBy("key", part.alias("part")).agg(F.min(F.struct("b", "root", "n", "rank")).alias("h"))
+            head = F.struct("b", "root", "n", "rank")
+            least_of = parted.select("key", head.alias("h")) if every else parted.groupBy("key", part.alias("part")).agg(F.min(head).alias("h"))
             heads = least_of.select("key", F.col("h.b").alias("head"), F.col("h.root").alias("other"), F.col("h.n").alias("m"), F.col("h.rank").alias("place"))
             small = parted.join(largest, "key").where(F.col("root") != F.col("largest.root")).select("key", "b", "root", "n", "rank")
             # Of two texts that first meet at these ranks, no more units than follow can be shared.

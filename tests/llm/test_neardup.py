@@ -92,3 +92,22 @@ def test_a_bucket_of_unlike_texts_loses_no_link(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = neardup.near_duplicates(df).collect()
     assert as_sets([r.doc_id for r in got], [r.class_id for r in got]) == as_sets(range(len(rows)), brute(rows))
+
+
+def test_members_that_are_never_heads_lose_no_link(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    # Twelve segments of two versions each: texts that differ in one segment are alike, others aren't, and
+    # every unit is in many texts.
+    points = []
+    while len(points) < 32:
+        x = rng.integers(0, 2, 12)
+        y = x.copy()
+        y[rng.integers(12)] ^= 1
+        if all((p != q).sum() > 1 for p in points for q in (x, y)):
+            points += [x, y]
+    rows = [(k, " ".join(f"s{n}v{v}w{w}" for n, v in enumerate(points[p]) for w in range(20))) for k, p in enumerate(rng.permutation(32))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # All members of a bucket share one part, as some do by chance at any width.
+    monkeypatch.setattr(neardup.F, "pmod", lambda a, b: neardup.F.lit(0))
+    got = neardup.near_duplicates(df, bands=8, rows=1).collect()
+    assert as_sets([r.doc_id for r in got], [r.class_id for r in got]) == as_sets(range(len(rows)), brute(rows))
