@@ -21,33 +21,28 @@ ITERATIONS, TOLERANCE = 50, 1e-4
 LEAST_KEPT = 0.25
 
 
-def _times(text: Column, sign: str) -> Column:
-    """Bytes that occurrences of a sign take; whole-string search, no loop over characters."""
-    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(sign), F.lit("")))
+#: Cells up to this many travel whole to every task (a row is some 100 bytes).
+CARRIED_CELLS = 20_000
 
 
 def token_count(text: Column) -> Column:
-    """Spaces, line ends and tabs, and one more; 0 for null, empty and blank texts."""
-    gaps = _times(text, " ") + _times(text, "\n") + _times(text, "\t")
-    return F.coalesce(F.when(text.rlike(r"\S"), gaps + 1), F.lit(0)).cast("long")
-
-
-#: Doubled signs that mark a text as noisy.
-NOISE = ("!!", "##", "$$", "%%", "&&", "**")
+    """Words between white space (0x20, 0x09 to 0x0D); 0 for null, empty and blank texts."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
-    """A coarse topic from a text's make-up, for tables without a topic column; shares are of its bytes."""
-    size = F.greatest(F.octet_length(text), F.lit(1))
-    noise = sum((_times(text, sign) for sign in NOISE[1:]), _times(text, NOISE[0]))
-    found = F.when(_times(text, "|") / size > 0.02, "tabular").when(F.octet_length(text) < 500, "short").when(noise / size > 0.05, "noisy").otherwise("prose")
+    """A coarse topic from a text's make-up, for tables without a topic column; shares are of its characters."""
+    size = F.greatest(F.length(text), F.lit(1))
+    bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
+    signs = F.length(F.regexp_replace(text, r"[^#$%&*!]++", ""))
+    found = F.when(bars / size > 0.02, "tabular").when(signs / size > 0.05, "noisy").when(F.length(text) < 500, "short").otherwise("prose")
     return F.coalesce(found, F.lit("short"))
 
 
 def cells_of(df: DataFrame, dims: dict[str, Column], tokens: Column) -> DataFrame:
-    """(dims..., n): the tokens of every combination of values."""
+    """(dims..., n, rows): the tokens of every combination of values, and its documents."""
     named = df.select(*[F.coalesce(c.cast("string"), F.lit(MISSING)).alias(name) for name, c in dims.items()], tokens.alias("n"))
-    return named.groupBy(*dims).agg(F.sum("n").alias("n")).where("n > 0")
+    return named.groupBy(*dims).agg(F.sum("n").alias("n"), F.count("*").alias("rows")).where("n > 0")
 
 
 def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -79,12 +74,12 @@ def rake(
 
     A value without a target, and a target without cells, count as nothing: the other shares of that column
     are scaled up. Stops when no share is off by more than ``tolerance``, or after ``iterations`` rounds if
-    the targets contradict each other.
+    the targets contradict each other; the column off says by how much the worst share misses its target.
 
     With a ``size``, a sample of so many tokens, no cell weighs more than it has (n / size): a cell that
     would is taken whole, and the rest is raked anew to the same targets. A column w is where it starts from.
     """
-    live = cells.withColumn("w", (F.col("w") if "w" in cells.columns else F.col("n")).cast("double"))
+    live = cells.withColumn("w", (F.col("w") if "w" in cells.columns else F.col("n")).cast("double")).drop("off")
     shares = {}
     for dim, target in targets.items():
         given = target.groupBy(F.coalesce(F.col("value").cast("string"), F.lit(MISSING)).alias(dim)).agg(F.sum("share").alias("share")).where("share > 0")
@@ -99,6 +94,7 @@ def rake(
             shares[dim] = _within(shares[dim], live, dim, size)
     cap = F.col("n") / F.lit(size) if size else F.lit(float("inf"))
     whole, part = F.when(F.col("w") >= cap, cap), F.when(F.col("w") < cap, F.col("w"))
+    worst = None
     for _ in range(iterations):
         off = []
         for dim, target in shares.items():
@@ -113,26 +109,42 @@ def rake(
         live = done.drop(*off)
         if worst is None or worst <= tolerance:
             break
-    return live.withColumn("w", F.least("w", cap))
-
-
-def mixed(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[str, DataFrame] | dict[str, float], key: str = "doc_id", seed: str = "mix", least: float = LEAST_KEPT) -> DataFrame:
-    """Every row of ``df`` with tokens, probability and keep.
+    return live.withColumn("w", F.least("w", cap)).withColumn("off", F.lit(float(worst or 0.0)))
+
+
+def mixed(
+    df: DataFrame,
+    dims: dict[str, Column],
+    tokens: Column,
+    targets: dict[str, DataFrame] | dict[str, float],
+    key: str = "doc_id",
+    seed: str = "mix",
+    least: float = LEAST_KEPT,
+    columns: list[str] | None = None,
+) -> DataFrame:
+    """Every row of ``df`` (or these of its ``columns``) with tokens, probability, keep and margin_error.
 
     ``targets`` gives for each column a table (value, share), or the power that flattens its own shares. A
     cell's probability is in proportion to its raked weight over its tokens, and the greatest is one: so the
     kept tokens meet the targets in the mean, without repeating a row. A scarce cell would thin all others;
     so where that leaves less than ``least`` of the tokens, the sample has exactly this share of them in the
-    mean: cells with too few tokens are taken whole and the rest is raked anew (see rake). Rows are kept by a hash of key and seed, so copies of a key share their fate. Rows without tokens or of a value
-    without a target have probability 0. Missing values are a value of their own. Added columns: tokens,
-    probability, keep; older columns of those names get a leading underscore.
+    mean: cells with too few tokens are taken whole and the rest is raked anew (see rake). Rows are kept by
+    a hash of key and seed, so copies of a key share their fate. Rows without tokens or of a value without a
+    target have probability 0. Missing values are a value of their own. margin_error is how far the worst
+    share of any column stays from its target, the same in every row; targets that contradict each other
+    show there. Older columns of the added names get a leading underscore. Texts are read once: tokens and
+    values are written beside the rows, which all later passes start from.
     """
-    for name in ("tokens", "probability", "keep"):
+    names = list(df.columns if columns is None else columns)
+    for name in ("tokens", "probability", "keep", "margin_error"):
         if name in df.columns:
-            df = df.withColumnRenamed(name, free_name(df, "_" + name))
+            other = free_name(df, "_" + name)
+            df = df.withColumnRenamed(name, other)
+            names = [other if c == name else c for c in names]
     spare = {dim: free_name(df, f"dim_{dim}") for dim in dims}
-    rows = df.withColumns({"tokens": tokens} | {spare[d]: F.coalesce(c.cast("string"), F.lit(MISSING)) for d, c in dims.items()})
-    cells = stored(cells_of(df, dims, tokens), "cells")
+    made = {"tokens": tokens} | {spare[d]: F.coalesce(c.cast("string"), F.lit(MISSING)) for d, c in dims.items()}
+    rows = stored(df.withColumns(made).select(*names, *([key] if key not in names else []), *made), "rows")
+    cells = stored(cells_of(rows, {d: F.col(spare[d]) for d in dims}, F.col("tokens")), "cells")
     tables = {d: flattened(cells, d, t) if isinstance(t, (int, float)) else t for d, t in targets.items()}
     raked = rake(cells, tables)
     most, whole = raked.agg(F.max(F.col("w") / F.col("n")), F.sum("n")).first()
@@ -140,9 +152,18 @@ def mixed(df: DataFrame, dims: dict[str, Column], tokens: Column, targets: dict[
     if whole and size < least * whole:
         size = least * whole
         raked = rake(raked, tables, size=size)
-    rate = F.least(F.lit(1.0), F.col("w") / F.col("n") * F.lit(size)).alias("probability")
-    rate = stored(raked.select(*[F.col(d).alias(spare[d]) for d in dims], rate), "rates")
-    out = rows.join(rate, list(spare.values()), "left")
+    rate = F.col("w") / F.col("n") * F.lit(size)
+    rate = F.when(rate > 1 - 1e-9, 1.0).otherwise(rate).alias("probability")
+    rate = stored(raked.select(*[F.col(d).alias(spare[d]) for d in dims], rate, "off", "rows"), "rates")
+    worst, count, total = rate.agg(F.max("off"), F.count("*"), F.sum("rows")).first()
+    on = list(spare.values())
+    if count <= CARRIED_CELLS:
+        out = rows.join(F.broadcast(rate.drop("off", "rows")), on, "left")
+    else:
+        # Cells with many rows, of which there are CARRIED_CELLS at most, are looked up in a broadcast.
+        hot = F.broadcast(rate.where(F.col("rows") > F.lit(total / CARRIED_CELLS)).drop("off", "rows"))
+        out = rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rate.drop("off", "rows"), on, "left"))
     chance = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / float(1 << 40)
-    return out.withColumn("probability", chance).withColumn("keep", draw < F.col("probability")).select(*df.columns, "tokens", "probability", "keep")
+    out = out.withColumn("probability", chance).withColumn("keep", draw < F.col("probability"))
+    return out.select(*names, "tokens", "probability", "keep", F.lit(float(worst or 0.0)).alias("margin_error"))

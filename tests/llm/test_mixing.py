@@ -78,3 +78,25 @@ def test_raking_within_a_size_by_brute_force(spark):
     # All hundred tokens of (x, 2) are taken; the margins fix the others.
     want = {("x", "1"): 0.4, ("x", "2"): 0.1, ("y", "1"): 0.1, ("y", "2"): 0.4}
     assert all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
+def test_tokens_and_topics_by_brute_force(spark):
+    texts = [" a  b\n\nc\t d ", "", "   ", "\r\n", "x", "a\u00a0b c", "a\x0bb\x0cc\rd", "#$%&*! " * 40, "| a | b |", "w " * 300, "é" * 501, "!" * 30 + "w" * 500, "\u2003 a"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "k int, text string")
+    got = {r.k: (r.n, r.topic) for r in df.select("k", mixing.token_count(F.col("text")).alias("n"), mixing.topic_of(F.col("text")).alias("topic")).collect()}
+
+    def topic(t):
+        size = max(1, len(t))
+        if t.count("|") / size > 0.02:
+            return "tabular"
+        if sum(map(t.count, "#$%&*!")) / size > 0.05:
+            return "noisy"
+        return "short" if len(t) < 500 else "prose"
+
+    assert got == {k: (len(t.encode().split()), topic(t)) for k, t in enumerate(texts)} | {99: (0, "short")}
+
+
+def test_margins_that_cannot_be_met_are_reported(spark):
+    cells = spark.createDataFrame([("x", "1", 10), ("y", "2", 10)], "a string, b string, n long")
+    tables = {"a": spark.createDataFrame([("x", 0.9), ("y", 0.1)], "value string, share double"), "b": spark.createDataFrame([("1", 0.1), ("2", 0.9)], "value string, share double")}
+    assert mixing.rake(cells, tables, iterations=3).first()["off"] > 0.5
