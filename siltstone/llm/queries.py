@@ -104,15 +104,16 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op2_topk"] = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id,
+  SELECT q.n, q.vec_id AS query_id, d.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i])) AS BIGINT) AS score
-  FROM v q JOIN v d ON q.vec_id <> d.vec_id
+  FROM v q JOIN v d ON q.vec_id IS DISTINCT FROM d.vec_id
   WHERE q.vec_id % 100 = 0
 ), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s
+  SELECT query_id, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id NULLS LAST) AS rank, vec_id, score FROM s
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
 """
@@ -131,13 +132,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymized(documents(spark, sf_dir).select("doc_id", "text"), DEMONSTRATION_KEY)
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
+def mixed_documents(docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Documents with tokens, probability and keep, raked by source, language and topic."""
     dims = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic_of(F.col("text"))}
-    return mixing.mixed(docs, dims, mixing.token_count(F.col("text")), FLATTENING)
+    return mixing.mixed(docs, dims, mixing.token_count(F.col("text")), FLATTENING, columns=columns)
 
 
 @_query
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sampling probability and whether it is drawn."""
-    return mixed_documents(documents(spark, sf_dir)).select("doc_id", "source", "lang", "tokens", "probability", "keep")
+    return mixed_documents(documents(spark, sf_dir), ["doc_id", "source", "lang"])
