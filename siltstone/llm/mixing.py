@@ -2,12 +2,12 @@
 iterative proportional fitting, then sample documents with the probabilities that follow.
 
 DataFrame functions only. The table of cells (a row for each combination of values that occurs, with its
-tokens) is all that the iteration touches; it stays in Spark and is written once an iteration.
+tokens) is all that the iteration touches; it stays in Spark, and is written every few rounds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.common import free_name, stored
@@ -21,22 +21,31 @@ ITERATIONS, TOLERANCE = 50, 1e-4
 LEAST_KEPT = 0.25
 
 
-#: Cells up to this many travel whole to every task (a row is some 100 bytes).
+#: Cells up to this many (a row is some 100 bytes) are raked in one task and travel whole to every other.
 CARRIED_CELLS = 20_000
 
+#: Rounds of raking in one plan where the cells are in one task.
+ROUNDS_AT_ONCE = 10
+
+
+def _kept(df: DataFrame, what: str, few: bool) -> DataFrame:
+    """``df`` written and read back; as one partition if it has few rows, so that nothing is exchanged."""
+    return stored(df, what).coalesce(1) if few else stored(df, what)
+
 
 def token_count(text: Column) -> Column:
     """Words between white space (0x20, 0x09 to 0x0D); 0 for null, empty and blank texts."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
+    # Java's \s is exactly these signs, and quicker than a class that lists them.
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S++")), F.lit(0)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
     """A coarse topic from a text's make-up, for tables without a topic column; shares are of its characters."""
+    text = F.coalesce(text, F.lit(""))
     size = F.greatest(F.length(text), F.lit(1))
     bars = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
-    signs = F.length(F.regexp_replace(text, r"[^#$%&*!]++", ""))
-    found = F.when(bars / size > 0.02, "tabular").when(signs / size > 0.05, "noisy").when(F.length(text) < 500, "short").otherwise("prose")
-    return F.coalesce(found, F.lit("short"))
+    signs = F.when(text.rlike(r"[#$%&*!]"), F.length(F.regexp_replace(text, r"[^#$%&*!]++", ""))).otherwise(0)
+    return F.when(bars / size > 0.02, "tabular").when(signs / size > 0.05, "noisy").when(F.length(text) < 500, "short").otherwise("prose")
 
 
 def cells_of(df: DataFrame, dims: dict[str, Column], tokens: Column) -> DataFrame:
@@ -53,10 +62,10 @@ def flattened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return sums.join(F.broadcast(whole), F.lit(True)).select("value", (F.col("p") / F.col("whole")).alias("share"))
 
 
-def _within(shares: DataFrame, live: DataFrame, dim: str, size: float) -> DataFrame:
+def _within(shares: DataFrame, live: DataFrame, dim: str, size: float, few: bool) -> DataFrame:
     """Shares of a sample of ``size`` tokens: a value that has too few gives all, the others share the rest."""
     room = live.groupBy(dim).agg((F.sum("n") / F.lit(size)).alias("room"))
-    known = stored(shares.join(room, dim), "rooms")
+    known = _kept(shares.join(room, dim), "rooms", few)
     scale = 1.0
     while True:  # grows until no further value runs out
         out = F.col("share") * F.lit(scale) >= F.col("room")
@@ -64,7 +73,14 @@ def _within(shares: DataFrame, live: DataFrame, dim: str, size: float) -> DataFr
         if rest is None or (1.0 - full) / rest <= scale * (1 + 1e-12):
             break
         scale = (1.0 - full) / rest
-    return stored(known.select(dim, F.least(F.col("share") * F.lit(scale), "room").alias("share")), "target")
+    return _kept(known.select(dim, F.least(F.col("share") * F.lit(scale), "room").alias("share")), "target", few)
+
+
+def _factor(share: Column, whole: Column, part: Column, total: Column) -> tuple[Column, Column]:
+    """What a value's weights are multiplied by, and how far its share was off."""
+    # Both are bounds from below; the second is exact once it is known which cells are taken whole.
+    factor = F.greatest(share / total, (share - F.coalesce(whole, F.lit(0.0))) / part)
+    return factor, F.abs(F.coalesce(whole, F.lit(0.0)) + F.coalesce(part, F.lit(0.0)) - share)
 
 
 def rake(
@@ -79,37 +95,48 @@ def rake(
     With a ``size``, a sample of so many tokens, no cell weighs more than it has (n / size): a cell that
     would is taken whole, and the rest is raked anew to the same targets. A column w is where it starts from.
     """
+    few = cells.count() <= CARRIED_CELLS
     live = cells.withColumn("w", (F.col("w") if "w" in cells.columns else F.col("n")).cast("double")).drop("off")
     shares = {}
     for dim, target in targets.items():
         given = target.groupBy(F.coalesce(F.col("value").cast("string"), F.lit(MISSING)).alias(dim)).agg(F.sum("share").alias("share")).where("share > 0")
-        shares[dim] = stored(given, "target")
+        shares[dim] = _kept(given.join(cells.select(dim).distinct(), dim, "left_semi"), "target", few)
         live = live.join(shares[dim].select(dim), dim, "left_semi")
-    live = stored(live, "cells")
+    live = _kept(live, "cells", few)
     for dim in targets:  # of the values that have cells
         present = shares[dim].join(live.select(dim).distinct(), dim, "left_semi")
         whole = present.agg(F.sum("share")).first()[0]
-        shares[dim] = stored(present.withColumn("share", F.col("share") / F.lit(whole or 1.0)), "target")
+        shares[dim] = _kept(present.withColumn("share", F.col("share") / F.lit(whole or 1.0)), "target", few)
         if size:
-            shares[dim] = _within(shares[dim], live, dim, size)
+            shares[dim] = _within(shares[dim], live, dim, size, few)
     cap = F.col("n") / F.lit(size) if size else F.lit(float("inf"))
     whole, part = F.when(F.col("w") >= cap, cap), F.when(F.col("w") < cap, F.col("w"))
-    worst = None
-    for _ in range(iterations):
-        off = []
-        for dim, target in shares.items():
-            sums = live.groupBy(dim).agg(F.sum("w").alias("sum"), F.coalesce(F.sum(whole), F.lit(0.0)).alias("whole"), F.sum(part).alias("part")).join(target, dim)
-            # Both are bounds from below; the second is exact once it is known which cells are taken whole.
-            factor = F.greatest(F.col("share") / F.col("sum"), (F.col("share") - F.col("whole")) / F.col("part"))
-            factor = sums.select(dim, factor.alias("factor"), (F.col("whole") + F.coalesce("part", F.lit(0.0)) - F.col("share")).alias("off"))
-            live = live.join(factor.select(dim, "factor", F.abs("off").alias(f"off_{dim}")), dim).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
-            off.append(f"off_{dim}")
-        done = stored(live, "cells")
-        worst = done.agg(F.max(F.greatest(*off, F.lit(0.0)))).first()[0]
-        live = done.drop(*off)
+    columns, worst, done = live.columns, None, 0
+    if few:
+        for dim in shares:
+            live = live.join(shares[dim].withColumnRenamed("share", f"share_{dim}"), dim)
+    while done < iterations:
+        turns = min(ROUNDS_AT_ONCE, iterations - done) if few else 1
+        for _ in range(turns):
+            off = []
+            for dim, target in shares.items():
+                if few:
+                    by = Window.partitionBy(dim)
+                    live = live.withColumns({"_sum": F.sum("w").over(by), "_whole": F.sum(whole).over(by), "_part": F.sum(part).over(by)})
+                    factor, miss = _factor(F.col(f"share_{dim}"), F.col("_whole"), F.col("_part"), F.col("_sum"))
+                    live = live.withColumn(f"off_{dim}", miss).withColumn("w", F.col("w") * factor).drop("_sum", "_whole", "_part")
+                else:
+                    sums = live.groupBy(dim).agg(F.sum("w").alias("sum"), F.sum(whole).alias("whole"), F.sum(part).alias("part")).join(target, dim)
+                    factor, miss = _factor(F.col("share"), F.col("whole"), F.col("part"), F.col("sum"))
+                    live = live.join(sums.select(dim, factor.alias("factor"), miss.alias(f"off_{dim}")), dim).withColumn("w", F.col("w") * F.col("factor")).drop("factor")
+                off.append(f"off_{dim}")
+        done += turns
+        live = _kept(live, "cells", few)
+        worst = live.agg(F.max(F.greatest(*off, F.lit(0.0)))).first()[0]
+        live = live.drop(*off)
         if worst is None or worst <= tolerance:
             break
-    return live.withColumn("w", F.least("w", cap)).withColumn("off", F.lit(float(worst or 0.0)))
+    return live.select(*columns).withColumn("w", F.least("w", cap)).withColumn("off", F.lit(float(worst or 0.0)))
 
 
 def mixed(
@@ -145,6 +172,8 @@ def mixed(
     made = {"tokens": tokens} | {spare[d]: F.coalesce(c.cast("string"), F.lit(MISSING)) for d, c in dims.items()}
     rows = stored(df.withColumns(made).select(*names, *([key] if key not in names else []), *made), "rows")
     cells = stored(cells_of(rows, {d: F.col(spare[d]) for d in dims}, F.col("tokens")), "cells")
+    if cells.count() <= CARRIED_CELLS:
+        cells = cells.coalesce(1)
     tables = {d: flattened(cells, d, t) if isinstance(t, (int, float)) else t for d, t in targets.items()}
     raked = rake(cells, tables)
     most, whole = raked.agg(F.max(F.col("w") / F.col("n")), F.sum("n")).first()

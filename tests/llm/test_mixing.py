@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import mixing, queries
@@ -17,7 +18,9 @@ def brute(cells, targets, rounds=200):
     return cells
 
 
-def test_raking_by_brute_force(spark):
+@pytest.mark.parametrize("carried", [20_000, 2])
+def test_raking_by_brute_force(spark, monkeypatch, carried):
+    monkeypatch.setattr(mixing, "CARRIED_CELLS", carried)  # in one task, and in exchanges
     cells = {("x", "1"): 100, ("x", "2"): 10, ("y", "1"): 5, ("y", "2"): 50, ("z", "1"): 7, ("w", "2"): 3}
     df = spark.createDataFrame([(*k, n) for k, n in cells.items()], "a string, b string, n long")
     targets = [{"x": 0.5, "y": 0.3, "z": 0.1, "none": 0.1}, {"1": 0.6, "2": 0.4}]
