@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import pii, queries
@@ -61,23 +62,63 @@ def test_digits_are_permuted_without_collision(spark):
     assert df.select(F.get(pii.surrogates(F.col("e"), "k"), F.lit(0)).alias("s")).distinct().count() == 10_000
 
 
-def test_collisions_get_another_try(spark):
-    names = [("person", f"Mary Name{k}", f"Mary Name{k}") for k in range(40)]
-    distinct = spark.createDataFrame(names, "kind string, norm string, raw string")
-    old = pii.SYLLABLES["latin"]
-    pii.SYLLABLES["latin"] = ("ba",)
-    try:
-        again = pii.retries(distinct.limit(8), "k")
-        rows = {r.norm: r.attempt for r in again.collect()}
-        final = distinct.limit(8).join(again, ["kind", "norm"], "left").fillna(0, ["attempt"])
-        made = final.select(F.get(pii.surrogates(F.array(F.struct("raw", "kind", "norm", "attempt")), "k"), F.lit(0)).alias("s")).collect()
-        assert rows and len({r.s for r in made}) == 8
-        texts = spark.createDataFrame([(f"saw Mary Name{c} and Mary Name{c}!",) for c in "abcdefgh"], "text string")
-        texts = texts.withColumn("text", F.regexp_replace("text", "Name", "Name-X"))
-        got = [re.findall(r"\w+ Babababa", r.text) for r in pii.pseudonymized(texts, "k").collect()]
-        assert all(len(g) == 2 and g[0] == g[1] for g in got) and len({g[0] for g in got}) == 8
-    finally:
-        pii.SYLLABLES["latin"] = old
+def test_collisions_get_another_try(spark, monkeypatch):
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ("ba", "do"))
+    distinct = spark.createDataFrame([("surname", f"Name{k}", f"Name{k}") for k in range(30)], "kind string, norm string, raw string")
+    again = pii.retries(distinct, "k")
+    rows = {r.norm: r.attempt for r in again.collect()}
+    final = distinct.join(again, ["kind", "norm"], "left").fillna(0, ["attempt"])
+    made = final.select(F.get(pii.surrogates(F.array(F.struct("raw", "kind", "norm", "attempt")), "k"), F.lit(0)).alias("s")).collect()
+    assert rows and len({r.s for r in made}) == 30
+    texts = spark.createDataFrame([(f"saw Mary Name-{c} and Mary Name-{c}!",) for c in ("Ab", "Bc", "Cd", "De", "Ef", "Fg", "Gh", "Hi", "Ij", "Jk", "Kl", "Lm", "Mn", "No", "Op", "Pq", "Qr", "Rs")], "text string")
+    got = [re.fullmatch(r"saw (\w+ \w+) and (\w+ \w+)!", r.text) for r in pii.pseudonymized(texts, "k").collect()]
+    assert all(m[1] == m[2] for m in got) and len({m[1] for m in got}) == 18
+
+
+def test_names_cannot_run_out(spark):
+    texts = [f"κύριος {n} ήρθε" for n in pii.NAMES["m", "greek"]] + [f"{n} Smith and" for n in pii.NAMES["m", "latin"]]
+    got = [r.text for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.fullmatch(r"κύριος [α-ωΑ-Ω]+ ήρθε|[A-Za-z]+ [A-Z][a-z]+ and", t) for t in got)
+
+
+def test_all_digits_in_use_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(pii, "MOST_ATTEMPTS", 2)
+    distinct = spark.createDataFrame([("ssn", str(d), str(d)) for d in range(10)], "kind string, norm string, raw string")
+    with pytest.raises(RuntimeError):
+        pii.retries(distinct, "k")
+
+
+def test_short_forms_name_the_same_person(spark):
+    texts = ["Mary Smith met", "Mrs Smith met", "Dr Mary Smith met", "Mr. John Smith met", "My name is Emily Carter, yes"]
+    a, b, c, d, e = (r.text for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect())
+    given, family = a.split()[:2]
+    assert family != "Smith" and (b, c) == (f"Mrs {family} met", f"Dr {given} {family} met")
+    assert d.split()[2] == family and d.split()[1] not in ("John", given)
+    assert e.startswith("My name is ") and e.endswith(", yes") and "Emily" not in e and "Carter" not in e
+
+
+def luhn(number):
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+
+
+def test_check_digits_and_calling_codes_fit(spark):
+    texts = ["4532 0151 1283 0366", "4532015112830367", "DE89 3704 0044 0532 0130 00", "+351 912 345 678", "call 555 123 4567", "06 12 34 56 78", "see fe80::1ff:fe23:4567:890a", "de" + "adbeef" * 6]
+    got = [r.text for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
+    assert all(a != b and len(a) == len(b) for a, b in zip(texts, got, strict=True))
+    assert luhn(got[0]) and re.fullmatch(r"4\d{3}( \d{4}){3}", got[0]) and re.fullmatch(r"4\d{15}", got[1])
+    compact = got[2].replace(" ", "")
+    assert compact[:2] == "DE" and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+    assert re.fullmatch(r"\+351 \d{3} \d{3} \d{3}", got[3]) and re.fullmatch(r"call \d{3} \d{3} \d{4}", got[4]) and re.fullmatch(r"(\d\d ){4}\d\d", got[5])
+    assert re.fullmatch(r"see [0-9a-f]{4}::[0-9a-f]{3}(:[0-9a-f]{4}){3}", got[6]) and re.fullmatch(r"[0-9a-f]{38}", got[7])
+
+
+def test_spellings_of_an_entity_share_a_surrogate(spark):
+    texts = ["(555) 123-4567", "555-123-4567", "token=ABCDEF0123456789", "password: abcdef0123456789"]
+    a, b, c, d = (r.text for r in pii.pseudonymized(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect())
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "5551234567"
+    assert c.partition("=")[2].lower() == d.partition(": ")[2] != "abcdef0123456789"
 
 
 def test_odd_rows(spark):
