@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,13 +49,16 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % CLASSES
 
 
-def count_tokens(train: DataFrame, text: str = "text") -> DataFrame:
-    """(word binary, c long) of every distinct token of ``train``, the end among them; no rows, no tokens."""
+def count_tokens(df: DataFrame, text: str = "text", train: Column | None = None) -> DataFrame:
+    """(word binary, c long, every long) of each distinct token of ``df``, the end among them: how often it
+    stands in rows where ``train`` holds (all, if not given), and in all rows; no rows, no tokens."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     split = F.split(F.translate(F.coalesce(F.col(text), F.lit("")), upper, lower), r"[\x20\x09-\x0D]+")
+    own = F.lit(1) if train is None else F.coalesce(train, F.lit(False)).cast("int")
     # One end a row; an end is told from words by the space that no word holds.
-    tokens = train.select(F.explode(F.concat(F.filter(split, lambda w: w != ""), F.array(F.lit(" ")))).alias("word"))
-    return tokens.groupBy("word").agg(F.count("*").alias("c")).select(F.col("word").cast("binary").alias("word"), "c")
+    tokens = df.select(own.alias("own"), F.explode(F.concat(F.filter(split, lambda w: w != ""), F.array(F.lit(" ")))).alias("word"))
+    counted = tokens.groupBy("word").agg(F.sum("own").alias("c"), F.count("*").alias("every"))
+    return counted.select(F.col("word").cast("binary").alias("word"), "c", "every")
 
 
 @dataclass
@@ -64,13 +67,13 @@ class Vocabulary:
 
     tokens: int = 0  #: N
     distinct: int = 0  #: V
-    words: list[bytes] = field(default_factory=list)  #: the carried words, most frequent first, without the end
+    words: list[bytes] = field(default_factory=list)  #: the carried words, most frequent in training first, without the end
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     ends: int = 0
     class_weight: np.ndarray = field(default_factory=lambda: np.ones(CLASSES))  #: sum of c + 1 outside the symbols, and 1
 
     def __post_init__(self):
-        own = min(len(self.words), SYMBOLS - CLASSES - 1)
+        own = min(int((self.counts > 0).sum()), SYMBOLS - CLASSES - 1)
         self.own = own
         self.index = {w: k for k, w in enumerate(self.words)}
         # Symbols: 0 the end, 1 to ``own`` words, then the classes.
@@ -93,19 +96,32 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The bounded summary of a counts table; its rows stay where they are."""
-    total = counts.agg(F.sum("c"), F.count("*"), F.sum(F.when(F.col("word") == F.lit(END), F.col("c")))).first()
+    """The bounded summary of a counts table; its other rows stay where they are.
+
+    Carried are the words that occur most often in all rows (training or not), down to a count that at most
+    CARRIED words reach: so no word that isn't carried is a hot key, not even one that training lacks.
+    """
+    own = F.when(F.col("word") == F.lit(END), F.col("c"))
+    total = counts.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("int")), F.sum(own)).first()
     words = counts.where(F.col("word") != F.lit(END))
-    top = words.orderBy(F.desc("c"), "word").limit(CARRIED).collect()
-    top_words, top_counts = [bytes(r[0]) for r in top], np.array([r[1] for r in top], np.int64)
-    own = min(len(top), SYMBOLS - CLASSES - 1)
-    by_class = words.groupBy((F.crc32(F.substring("word", -2, 2)) % CLASSES).alias("k")).agg(F.sum(F.col("c") + 1).alias("w")).collect()
+    # Sixteen levels for each doubling of a count: a thousand rows at most.
+    level = F.floor(F.log2("every") * 16).cast("int")
+    reached, least = 0, None
+    for row in sorted(words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        reached += row["n"]
+        if reached > CARRIED:
+            break
+        least = row["level"]
+    top = words.where(level >= least).select("word", "c").collect() if least is not None else []
+    top = sorted(((bytes(r[0]), r[1]) for r in top), key=lambda r: (-r[1], r[0]))
+    vocab = Vocabulary(total[0] or 0, total[1] or 0, [w for w, _ in top], np.array([c for _, c in top], np.int64), total[2] or 0)
+    by_class = words.where("c > 0").groupBy((F.crc32(F.substring("word", -2, 2)) % CLASSES).alias("k")).agg(F.sum(F.col("c") + 1).alias("w")).collect()
     weight = np.ones(CLASSES)
     for row in by_class:
         weight[row["k"]] += row["w"]
-    for word, c in zip(top_words[:own], top_counts[:own].tolist(), strict=True):
+    for word, c in top[: vocab.own]:
         weight[class_of(word)] -= c + 1
-    return Vocabulary(total[0] or 0, total[1] or 0, top_words, top_counts, total[2] or 0, weight)
+    return Vocabulary(vocab.tokens, vocab.distinct, vocab.words, vocab.counts, vocab.ends, weight)
 
 
 @dataclass
@@ -195,7 +211,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def train(df: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = 1) -> LogBilinear:
+def _trained(df: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int = 1) -> LogBilinear:
     """Every task trains on all of its rows from the same start; the models are averaged by their tokens.
 
     A task sends each symbol's row once, whatever it has read, so the exchange is tasks x SYMBOLS rows.
@@ -252,9 +268,9 @@ def _tables(model: LogBilinear) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def score(df: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinear, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, base_score, score) of every row, log10.
 
-    Words that aren't carried go to their counts in one exchange and return summed in another: each is rarer
-    than CARRIED others, so no key is hot. Rows are told apart by their place, so repeated or null keys keep
-    a row each. A null or empty text is the end alone. Without training tokens both scores are that of one
+    Words that aren't carried go to their counts in one exchange and return summed in another; where
+    ``df`` is what was counted, each is rarer in it than the carried ones, known to training or not, so no
+    key is hot. Rows are told apart by their place, so repeated or null keys keep a row each. A null or empty text is the end alone. Without training tokens both scores are that of one
     unknown word among none.
     """
     bound_batches(df.sparkSession)
@@ -281,7 +297,7 @@ def score(df: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinea
                 # log10 of (c + 1) counts towards the base, and inside a class towards the model too
                 inside = float(logs[symbol[seen] > vocab.own].sum())
                 base = float(logs.sum()) - len(words) * np.log10(whole) + end
-                cores.append([len(words) + 1, int(seen.sum()) + (vocab.ends > 0), base, inside + float(in_class[symbol].sum())])
+                cores.append([len(words) + 1, int((vocab.counts[at[seen]] > 0).sum()) + (vocab.ends > 0), base, inside + float(in_class[symbol].sum())])
                 rare.append(Counter([words[k] for k in np.flatnonzero(~seen).tolist()]))
                 symbols.append(symbol)
                 sizes.append(len(words) + 1)
@@ -303,7 +319,7 @@ def score(df: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinea
     # The reader of a file deals the same rows to the same places each time, so a task run again agrees.
     placed = df.select(F.monotonically_increasing_id().alias("uid"), F.col(text).alias("_text"), F.col(key).alias("_key"))
     parts = placed.mapInArrow(run, parts_schema)
-    rare_counts = counts.select("word", "c")
+    rare_counts = counts.where("c > 0").select("word", "c")
     joined = parts.join(rare_counts, "word", "left")
     log = F.col("times") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + 1.0)
     summed = joined.groupBy("uid").agg(
@@ -320,8 +336,12 @@ def score(df: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinea
     )
 
 
-def learn(train_df: DataFrame, text: str = "text", rounds: int = 1) -> tuple[DataFrame, Vocabulary, LogBilinear]:
-    """Counts (written once to shared storage), their bounded summary, and the trained model."""
-    counts = stored(count_tokens(train_df, text), "counts")
+def learn(df: DataFrame, train: Column | None = None, text: str = "text", rounds: int = 1) -> tuple[DataFrame, Vocabulary, LogBilinear]:
+    """Counts (written once to shared storage), their bounded summary, and the trained model.
+
+    Only rows where ``train`` holds are learned from (all, if not given); how often words occur in the other
+    rows decides nothing but which counts travel with the scoring code.
+    """
+    counts = stored(count_tokens(df, text, train), "counts")
     vocab = vocabulary(counts)
-    return counts, vocab, train(train_df, vocab, text, rounds)
+    return counts, vocab, _trained(df if train is None else df.where(train), vocab, text, rounds)

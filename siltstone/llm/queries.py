@@ -60,7 +60,7 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model log10 probability of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    counts, vocab, model = lm.learn(docs.where(fold("doc_id", 7) != 2))
+    counts, vocab, model = lm.learn(docs, fold("doc_id", 7) != 2)
     out = lm.score(docs, counts, vocab, model)
     held_out = (fold("doc_id", 7) == 2).alias("held_out")
     return out.select("doc_id", held_out, "n_tokens", "n_known", F.lit(vocab.tokens).cast("long").alias("train_tokens"), "base_score", "score")

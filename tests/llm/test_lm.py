@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import lm, queries
 
@@ -35,6 +36,43 @@ def test_base_by_brute_force_and_model_gain(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_scores_by_brute_force(spark, monkeypatch):
+    """Every token's probability from the model's own formula, symbol by symbol, and its share of a class."""
+    monkeypatch.setattr(lm, "SYMBOLS", lm.CLASSES + 4)
+    monkeypatch.setattr(lm, "CARRIED", 6)
+    rows = [(1, "a b a c a b d"), (2, "a c b e f g"), (3, "unseen unseen a hot"), (4, None)] + [(10 + k, "hot b") for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    in_training = F.col("doc_id") < 3
+    counts, vocab, model = lm.learn(df, in_training)
+    assert b"hot" in vocab.words and len(vocab.words) <= 6 and vocab.own == 3
+    seen = Counter(w for k, t in rows if k < 3 for w in lm.words_of(t))
+    own = [w for w, _ in sorted(seen.items(), key=lambda r: (-r[1], r[0]))][:3]
+    weight = Counter({k: 1 for k in range(lm.CLASSES)})
+    for word, c in seen.items():
+        if word not in own:
+            weight[lm.class_of(word)] += c + 1
+    context, target, bias = model.both[:, : lm.DIM], model.both[:, lm.DIM : -1], model.both[:, -1]
+
+    def symbol(word):
+        return 1 + own.index(word) if word in own else 1 + len(own) + lm.class_of(word)
+
+    def log_probability(text):
+        h2, h1, out = 0, 0, 0.0
+        for word in [*lm.words_of(text), None]:
+            s = 0 if word is None else symbol(word)
+            scores = bias + target @ (model.position[0] * context[h1]) + target @ (model.position[1] * context[h2])
+            out += scores[s] - np.log(np.exp(scores.astype(float)).sum())
+            if word is not None and word not in own:
+                out += math.log((seen[word] + 1) / weight[lm.class_of(word)])
+            h2, h1 = h1, s
+        return out / math.log(10)
+
+    got = {r.doc_id: r for r in lm.score(df, counts, vocab, model).collect()}
+    assert all(got[k].score == pytest.approx(log_probability(t), abs=1e-4) for k, t in rows)
+    n, want = brute(rows, [t for k, t in rows if k < 3])
+    assert vocab.tokens == n and all((got[k].n_tokens, got[k].n_known) == (a, b) and got[k].base_score == pytest.approx(c) for k, a, b, c in want)
+
+
 def test_probabilities_sum_to_one():
     words = [b"w%d" % k for k in range(3000)]
     vocab = lm.Vocabulary(10_000, 3001, words, np.arange(3000, 0, -1), 50)
