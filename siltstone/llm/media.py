@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from html import escape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import batches_of, bound_batches, free_name, shared_folder
+from siltstone.llm.common import batches_of, bound_batches, free_name, looked_up, shared_folder, stored
 
 UNIT = 64
 
@@ -35,23 +36,33 @@ ITEM = T.StructType(
     ]
 )
 
-# Elements that hold no visible text, that end a block, and that refer to media.
-HIDDEN = {"script", "style", "template", "noscript", "head", "title"}
-BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "br", "hr", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "figure", "blockquote", "pre"}
-MEDIA = {"img": "image", "audio": "audio", "video": "video", "source": "audio"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+# Elements without visible text, elements that end a block, and elements of media.
+HIDDEN = {"script", "style", "template", "title"}
+BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "br", "hr", "tr", "td", "th", "table", "h1", "h2", "h3", "h4", "h5", "h6", "nav", "header", "footer", "main", "aside", "body", "figure", "blockquote", "pre", "dl", "dt", "dd", "form"}
+MEDIA = {"img": "image", "audio": "audio", "video": "video", "embed": "file"}
+
+# What may stand in a head, and what a caption can't hold; either ends them without an end tag.
+IN_HEAD = {"base", "link", "meta", "title", "style", "script", "template", "noscript"}
 
 
 class Sequencer(HTMLParser):
-    """Collects a page's visible text blocks and media references in their order."""
+    """Collects a page's visible text blocks and media references in their order.
+
+    End tags may be missing: a head ends at the first element that can't be in it, hidden elements hide
+    only what the parser takes as their text (script, style) or what stands before their own end, a new
+    block or the body; a caption ends with its figure, at the next medium or block, or with the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items: list[dict] = []
         self.words: list[str] = []
-        self.hidden = 0
+        self.hidden: list[str] = []
+        self.head = False
+        self.players: list[str] = []
         self.figure: list[int] | None = None
         self.caption: list[str] | None = None
+        self.said: str | None = None
 
     def flush(self) -> None:
         text = " ".join("".join(self.words).split())
@@ -59,48 +70,89 @@ class Sequencer(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_caption(self) -> None:
+        """The caption so far belongs to the figure; without a medium it becomes text when the figure ends."""
+        if self.caption is not None:
+            text = " ".join("".join(self.caption).split())
+            self.said = " ".join(filter(None, (self.said, text))) or None
+            self.caption = None
+
+    def end_figure(self) -> None:
+        self.end_caption()
+        if self.figure is not None or self.said:
+            for k in self.figure or []:
+                self.items[k]["caption"] = self.said or self.items[k]["caption"]
+            if self.said and not self.figure:
+                self.flush()
+                self.items.append({"kind": "text", "text": self.said, "digest": None, "caption": None})
+        self.figure, self.said = None, None
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "head":
+            self.head = True
+        elif self.head and tag not in IN_HEAD:
+            self.head = False
         if tag in HIDDEN:
-            self.hidden += 1
+            self.hidden.append(tag)
+        elif self.hidden and tag in BLOCKS and "template" not in self.hidden:
+            self.hidden.clear()
         if tag in BLOCKS:
             self.flush()
+            if self.caption is not None and tag in ("br", "p"):
+                self.caption.append(" ")
+            elif self.caption is not None:
+                self.end_caption()
         if tag == "figure":
+            self.end_figure()
             self.figure = []
         if tag == "figcaption":
             self.flush()
+            self.end_caption()
             self.caption = []
-        if tag in MEDIA and not self.hidden:
-            self.flush()
-            given = dict(attrs)
-            where = given.get("src") or ""
-            digest = where.rpartition("sha256:")[2] if "sha256:" in where else hashlib.sha256(where.encode("utf-8", "surrogatepass")).hexdigest()
-            if where:
-                self.items.append({"kind": MEDIA[tag], "text": None, "digest": digest, "caption": given.get("alt")})
-                if self.figure is not None:
-                    self.figure.append(len(self.items) - 1)
+        kind = MEDIA.get(tag) or (self.players[-1] if tag == "source" and self.players else "image" if tag == "source" else None)
+        if kind and not self.hidden:
+            self.medium(kind, dict(attrs))
+        if tag in ("audio", "video"):
+            self.players.append(tag)
+
+    def medium(self, kind: str, given: dict[str, str | None]) -> None:
+        # A source of a picture names its files in srcset.
+        where = given.get("src") or (given.get("srcset") or "").strip().partition(" ")[0].rstrip(",")
+        if not where:
+            return
+        self.flush()
+        self.end_caption()
+        digest = where.rpartition("sha256:")[2] if "sha256:" in where else hashlib.sha256(where.encode("utf-8", "surrogatepass")).hexdigest()
+        self.items.append({"kind": kind, "text": None, "digest": digest, "caption": given.get("alt")})
+        if self.figure is not None:
+            self.figure.append(len(self.items) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self.hidden = max(0, self.hidden - 1)
+        if tag == "head":
+            self.head = False
+        if tag in self.hidden:
+            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag) :]
         if tag in BLOCKS:
             self.flush()
-        if tag == "figcaption" and self.caption is not None:
-            text = " ".join("".join(self.caption).split())
-            for k in self.figure or []:
-                self.items[k]["caption"] = text or self.items[k]["caption"]
-            self.caption = None
+        if tag == "figcaption":
+            self.end_caption()
         if tag == "figure":
-            self.figure = None
+            self.end_figure()
+        if tag in self.players:
+            self.players.remove(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
-            (self.words if self.caption is None else self.caption).append(data)
+        if self.hidden or (self.head and not data.strip()):
+            return
+        (self.words if self.caption is None else self.caption).append(data)
 
 
 def sequence_of(html: str | None) -> list[dict]:
+    """The items of a page; a null or empty page has none. Any text is accepted, however broken its markup."""
     parser = Sequencer()
     parser.feed(html or "")
     parser.close()
+    parser.end_figure()
     parser.flush()
     return [{"position": k, **item} for k, item in enumerate(parser.items)]
 
@@ -123,12 +175,12 @@ def sequences(df: DataFrame, html: str = "html", name: str = "items") -> DataFra
 def resolved(df: DataFrame, store: DataFrame, key: str, items: str = "items") -> DataFrame:
     """One row per media item: key, position, caption, digest and the store's columns (null: unresolved).
 
-    The store has each digest once, so positions stay as they are; a hot digest's rows are split by the
-    join, which has nothing above it that needs them together.
+    The store has each digest once, so positions stay as they are. References (short rows) are written
+    once; those to a hot digest are resolved by a broadcast, the others meet the store by digest.
     """
     # An inline of the array keeps each item's own position and caption beside its digest.
     refs = df.select(key, F.inline(items)).where("kind <> 'text'").select(key, "position", "kind", "caption", "digest")
-    return refs.join(store, "digest", "left")
+    return looked_up(stored(refs, "references"), store, "digest")
 
 
 def payload_of(text: str | None) -> bytes:
@@ -206,7 +258,8 @@ def store_features(store: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
     made = store.select("digest", "media").mapInArrow(run, FEATURES)
-    return made.groupBy("digest").agg(*[F.first(c).alias(c) for c in made.columns[1:]])
+    # A digest has one row from here on, and its features, made from bytes, are not made again.
+    return stored(made.groupBy("digest").agg(*[F.first(c).alias(c) for c in made.columns[1:]]), "features")
 
 
 def as_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,6 +276,7 @@ def as_pages(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
             for name, text in zip(batch.column(0).to_pylist(), batches_of(batch.column(1)), strict=True):
                 digest = hashlib.sha256(to_media(payload_of(text))).hexdigest()
                 sizes.append(len(text.encode("utf-8", "surrogatepass")))
+                name = escape(str(name))
                 pages.append(f'<article><h1>{name}</h1><figure><audio src="media/sha256:{digest}"></audio><figcaption>document {name}</figcaption></figure></article>')
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(pages, pa.string())], names=schema.names)
 

@@ -38,3 +38,27 @@ def test_sequences_keep_order_and_captions(spark):
     assert [(r.page_id, r.position, r.caption, r.media) for r in got] == [(1, 1, "new & old", b"AA"), (1, 3, "B", None)]
     real = media.sequences(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     assert real.where(F.size("items") == 0).count() == 0
+
+
+def kinds(html):
+    return [(i["kind"], i["text"] or i["caption"]) for i in media.sequence_of(html)]
+
+
+def test_broken_and_optional_markup():
+    assert kinds("<html><head><title>t</title><body><p>hello</p><img src=a.png>") == [("text", "hello"), ("image", None)]
+    assert kinds("<head><meta charset=utf-8><p>no body</p>") == [("text", "no body")]
+    assert kinds("<figure><img src=a><figcaption>cap<p>more</figure><p>after") == [("image", "cap more"), ("text", "after")]
+    assert kinds("<figure><img src=a><figcaption>cap<div>after</div>") == [("image", "cap"), ("text", "after")]
+    assert kinds("<figure><figcaption>alone</figcaption></figure>x") == [("text", "alone"), ("text", "x")]
+    assert kinds("<noscript>shown<p>after") == [("text", "shown"), ("text", "after")]
+    assert kinds("<title>open <p>text") in ([("text", "text")], [])  # as the parser's version has it
+    assert kinds("<template><p>no</p></template>yes") == [("text", "yes")]
+    assert kinds('<video><source src="v"></video><audio src="a"></audio><picture><source srcset="p 2x"><img src="q" alt="Q"></picture>') == [("video", None), ("audio", None), ("image", None), ("image", "Q")]
+    assert kinds("<p>a < b & c</p><<>") and kinds("") == [] and media.sequence_of(None) == []
+
+
+def test_a_hot_digest_and_string_keys(spark, monkeypatch):
+    monkeypatch.setattr("siltstone.llm.common.HOT_ROWS", 5)
+    rows = [(f"k<{k}>", "same" if k % 2 else f"t{k % 7}") for k in range(40)] + [(None, "same")]
+    got = media.document_media(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert sorted((r.doc_id or "", r.payload_sha256, r.caption) for r in got) == sorted((k or "", hashlib.sha256(media.payload_of(t)).hexdigest(), f"document {k}") for k, t in rows)
