@@ -14,13 +14,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.common import free_name, shared_folder
 
-#: Bytes of text that a bucket holds in the mean; two buckets fit in a worker beside their shuffled copies.
+#: Bytes that a bucket holds in the mean; two buckets fit in a worker beside their shuffled copies.
 BUCKET_BYTES = 24_000_000
 
 
@@ -34,6 +34,15 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: its texts and binaries, and eight for any other value."""
+    out = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        long = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        out = out + (F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0)) if long else F.lit(8))
+    return out
+
+
 def fisher_yates(count: int, seed: int) -> np.ndarray:
     """A uniform permutation of range(count): every place in turn swaps with a place not after it."""
     order = np.arange(count)
@@ -49,36 +58,45 @@ def shuffled_shards(df: DataFrame, shards: int, key: str = "doc_id", text: str =
 
     Added: shard int, slot long (gapless from 0 within the shard, the row's place in it) and grown_shard int
     (its shard if there were one more). All columns of ``df`` are kept; clashing names get a leading
-    underscore. Null texts count no bytes; null keys are one key; repeated rows are rows of their own. One
-    exchange of the rows, one count of buckets that stays in Spark.
+    underscore. Null texts count no bytes; null keys are one key; repeated rows are rows of their own. A
+    shard has as many buckets as its own bytes need, so a hot or null key's shard has more buckets, not
+    larger ones (a bucket's bytes vary with its rows' about ``bucket_bytes``). One exchange of the rows, one
+    running sum over the buckets' counts.
     """
     spark = df.sparkSession
     for name in ("shard", "slot", "grown_shard"):
         if name in df.columns:
             df = df.withColumnRenamed(name, free_name(df, "_" + name))
-    total = df.agg(F.sum(size_of(F.col(text)))).first()[0] or 0
-    parts = max(1, -(-total // (bucket_bytes * shards)))
-    bucket, order = free_name(df, "bucket"), free_name(df, "order")
+    bucket, order, home = free_name(df, "bucket"), free_name(df, "order"), free_name(df, "home")
     shard = key_shard(F.col(key), shards, seed)
+    # Bytes of every shard: as many numbers as shards, whatever the rows.
+    weight = df.select(shard.alias(home), row_bytes(df).alias("bytes")).groupBy(home).agg(F.sum("bytes").alias("bytes")).collect()
+    parts = [1] * shards
+    for row in weight:
+        parts[row[home]] = max(1, -(-row["bytes"] // bucket_bytes))
+    first = np.cumsum([0, *parts]).tolist()
+    number = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(home) + 1)
     content = F.xxhash64(F.lit(seed + 1), F.col(key), F.col(text), F.monotonically_increasing_id())
-    scattered = df.withColumn(bucket, (shard * parts + F.pmod(content, F.lit(parts)).cast("int")).cast("int"))
+    scattered = df.withColumn(home, shard)
+    scattered = scattered.withColumn(bucket, (number(first[:-1]) + F.pmod(content, number(parts))).cast("int")).drop(home)
     # Equal rows are alike, so content alone fixes what stands at each place.
     scattered = scattered.withColumn(order, F.xxhash64(F.lit(seed + 2), *[F.col(c) for c in df.columns]))
     schema = T.StructType([*df.schema.fields, T.StructField(bucket, T.IntegerType()), T.StructField("place", T.LongType())])
 
     def run(table: pa.Table) -> pa.Table:
-        number = table.column(bucket)[0].as_py()
+        own = table.column(bucket)[0].as_py()
         table = table.take(pc.sort_indices(table, [(order, "ascending"), (key, "ascending")])).drop_columns([order])
-        table = table.take(pa.array(fisher_yates(table.num_rows, seed * 1_000_003 + number)))
+        table = table.take(pa.array(fisher_yates(table.num_rows, seed * 1_000_003 + own)))
         return table.append_column("place", pa.array(np.arange(table.num_rows)))
 
     path = shared_folder(spark, "shards")
-    scattered.repartition(shards * parts, bucket).groupBy(bucket).applyInArrow(run, schema).write.parquet(path)
+    scattered.repartition(first[-1], bucket).groupBy(bucket).applyInArrow(run, schema).write.parquet(path)
     written = spark.read.schema(schema).parquet(path)
-    sizes = written.groupBy(bucket).agg(F.count("*").alias("n"))
-    # Rows before a bucket in its shard; both sides have a row for each bucket.
-    before = sizes.select(F.col(bucket).alias("b"), F.floor(F.col(bucket) / parts).cast("int").alias("shard"), "n")
-    other = before.select("shard", F.col("b").alias("earlier"), F.col("n").alias("m"))
-    starts = before.join(other, "shard").groupBy("b", "shard").agg(F.sum(F.when(F.col("earlier") < F.col("b"), F.col("m")).otherwise(0)).alias("start"))
+    # Rows before a bucket in its shard: a running sum over one row for each bucket.
+    sizes = written.groupBy(F.col(bucket).alias("b")).agg(F.count("*").alias("n"))
+    number = F.array(*[F.lit(v) for v in first])
+    sizes = sizes.withColumn("shard", (F.size(F.filter(number, lambda f: f <= F.col("b"))) - 1).cast("int"))
+    before = Window.partitionBy("shard").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("b", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     out = written.join(starts, written[bucket] == starts["b"])
     return out.select(*[written[c] for c in df.columns], "shard", (F.col("start") + F.col("place")).alias("slot"), key_shard(written[key], shards + 1, seed).alias("grown_shard"))

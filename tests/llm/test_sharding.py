@@ -39,3 +39,16 @@ def test_fisher_yates_is_uniform():
     seen = Counter(tuple(sharding.fisher_yates(3, s).tolist()) for s in range(6000))
     assert len(seen) == 6 and max(seen.values()) < 1200 and min(seen.values()) > 800
     assert sorted(sharding.fisher_yates(1000, 5).tolist()) == list(np.arange(1000))
+
+
+def test_shards_and_places_by_brute_force(spark):
+    """Rendezvous over Spark's own hash, row by row, and buckets that follow each shard's bytes."""
+    rows = [(None, "n" * 500) for _ in range(200)] + [(k, "t" * 50) for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sharding.shuffled_shards(df, 4, bucket_bytes=10_000).collect()
+    hashes = spark.createDataFrame([(k, s) for k in {r[0] for r in rows} for s in range(5)], "doc_id long, s int").selectExpr("doc_id", "s", "xxhash64(0, doc_id, s) AS h").collect()
+    best = lambda key, n: max((r.h, r.s) for r in hashes if r.doc_id == key and r.s < n)[1]
+    assert all((r.shard, r.grown_shard) == (best(r.doc_id, 4), best(r.doc_id, 5)) for r in got)
+    assert len(got) == 300
+    for shard in range(4):
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
