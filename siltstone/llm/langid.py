@@ -33,9 +33,9 @@ FAMILIES = {
 #: Hashed feature space.
 BUCKETS = 4096
 
-#: The bounded training sample: about this many documents of each language, of this many languages at most.
-PER_LANGUAGE = 600
-MOST_LANGUAGES = 100
+#: The bounded training sample: about this many documents of each language; fewer where many languages
+#: would exceed the whole, but LEAST_EACH of every language.
+PER_LANGUAGE, WHOLE_SAMPLE, LEAST_EACH = 600, 60_000, 20
 
 
 def family_of(language: str) -> str:
@@ -156,18 +156,24 @@ def fit(x: np.ndarray, languages: list[str]) -> Model:
 def learn(df: DataFrame, text: str = "text", language: str = "lang", key: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of the labelled rows of ``df``: about ``per_language`` rows of each language.
 
-    The share of each language to take follows from its count over all rows; which rows, from a hash of
-    ``key``. Rows with a null language or text take no part. Features are made on the executors.
+    The share of each language to take follows from its count over all rows; which rows, from a hash of key
+    and text; equal texts of a language count once, so neither a hot key nor copies fill the sample. Every
+    language is learned. Rows with a null language or text take no part. Features are made on the executors.
     """
     bound_batches(df.sparkSession)
     df = df.where(F.col(language).isNotNull() & F.col(text).isNotNull())
-    counts = df.groupBy(language).count().orderBy(F.desc("count"), language).limit(MOST_LANGUAGES).collect()
-    if not counts:
+    # A row for each language, here and in the broadcast.
+    counts = df.groupBy(F.col(language).alias("_language")).agg(F.count("*").alias("_n"))
+    languages = counts.count()
+    if not languages:
         return Model()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(language) == row[0], F.lit(min(1.0, per_language / row["count"]))).otherwise(share)
-    chosen = df.where(F.pmod(F.xxhash64(F.lit("langid"), key), F.lit(1 << 30)) < share * (1 << 30))
+    if languages > WHOLE_SAMPLE:
+        raise ValueError(f"{languages} distinct values of {language} are no languages")
+    each = max(LEAST_EACH, min(per_language, WHOLE_SAMPLE // languages))
+    share = counts.select("_language", (F.least(F.lit(1.0), each / F.col("_n")) * (1 << 30)).alias("_share"))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), key, text), F.lit(1 << 30))
+    chosen = df.select(F.col(language).alias("_language"), F.col(text).alias("_text"), draw.alias("_draw")).join(F.broadcast(share), "_language")
+    chosen = chosen.where(F.col("_draw") < F.col("_share")).groupBy("_language", "_text").agg(F.lit(1)).select("_language", "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,7 +182,7 @@ def learn(df: DataFrame, text: str = "text", language: str = "lang", key: str =
             value = [r[i] for r, i in zip(rows, index, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "i", "v"])
 
-    sample = chosen.select(language, text).mapInArrow(run, "lang string, i array<int>, v array<float>").toArrow()
+    sample = chosen.mapInArrow(run, "lang string, i array<int>, v array<float>").toArrow()
     index, value = (sample.column(c).combine_chunks() for c in ("i", "v"))
     row = np.repeat(np.arange(sample.num_rows), index.value_lengths().to_numpy(zero_copy_only=False))
     x = np.zeros((sample.num_rows, BUCKETS), np.float32)
@@ -188,7 +194,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add lang_pred string and score double to every row; the row's other columns play no part.
 
     A null, empty or letterless text gets 'und' and 0. Columns of those names get a leading underscore.
-    One pass without a shuffle; the model is BUCKETS x machines numbers, bounded by MOST_LANGUAGES.
+    One pass without a shuffle; the model is BUCKETS x machines numbers, 16 kB for each family
+    and each pair of languages within one.
     """
     bound_batches(df.sparkSession)
     for name in ("lang_pred", "score"):

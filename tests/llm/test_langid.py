@@ -24,3 +24,10 @@ def test_odd_rows(spark):
 def test_families():
     assert langid.family_of("en") == langid.family_of("de") != langid.family_of("fr")
     assert langid.family_of("xx") == "xx"
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(k, f"{chr(97 + k % 12)}{chr(97 + (k * 5) % 26)}{chr(97 + k % 12)} " * 20, f"x{k % 12}") for k in range(240)] + [(7, "aaa " * 9, "x0")] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(df, per_language=5)
+    assert sorted(sum(model.families.values(), [])) == sorted({r[2] for r in rows})
