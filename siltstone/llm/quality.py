@@ -30,6 +30,9 @@ SAMPLE = 8000
 #: Distinct words a worker remembers the buckets of; emptied when full.
 CACHE_ENTRIES = 400_000
 
+#: Letters of a word at most; a longer one is several words.
+PIECE = 64
+
 #: Pairs gathered before they are counted (32 MB).
 CODES_AT_ONCE = 8_000_000
 
@@ -43,14 +46,22 @@ def index_vectors() -> np.ndarray:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    """The words between white space; an over-long one (a text without spaces, encoded data) in pieces."""
+    words = text.split()
+    if len(text) > PIECE and any(len(w) > PIECE for w in words):
+        words = [w[k : k + PIECE] for w in words for k in range(0, len(w), PIECE)]
+    return words
+
+
 def shape(word: str) -> str:
     """The word's pattern: runs of upper, lower and digits as one sign each, other signs as they are."""
     out = []
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
         if not out or out[-1] != kind or kind not in "Aa9":
             out.append(kind)
-    return "".join(out[:12])
+    return "".join(out)
 
 
 class Hasher:
@@ -106,7 +117,7 @@ def context_vectors(df: DataFrame, text: str = "text") -> np.ndarray:
                 waiting.clear()
 
         for batch in batches:
-            words = [t.split() for t in batches_of(batch.column(0))]
+            words = [words_of(t) for t in batches_of(batch.column(0))]
             words = [w for w in words if w]
             if words:
                 ids = hasher.ids([x for w in words for x in w])
@@ -221,15 +232,19 @@ def sample_of(labels: DataFrame, key: str, label: str, size: int) -> DataFrame:
 
 
 def learn(df: DataFrame, labels: DataFrame, vectors: np.ndarray, text: str = "text", key: str = "doc_id", label: str = "quality", size: int = SAMPLE) -> Network:
-    """Fit the network on a bounded sample (about ``size`` keys) of the labelled rows."""
+    """Fit the network on a bounded sample (about ``size`` keys) of the labelled rows.
+
+    Of the rows of a repeated key the one of least text counts, so a hot key is one row of the sample.
+    """
     bound_batches(df.sparkSession)
     chosen = df.select(key, text).join(F.broadcast(sample_of(labels, key, label, size)), key)  # ``size`` bounds the broadcast
+    chosen = chosen.groupBy(key, "_label").agg(F.min(F.coalesce(F.col(text), F.lit(""))).alias(text))
     shared = df.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for batch in batches:
-            x = pooled([t.split() for t in batches_of(batch.column(1))], hasher, shared.value)
+            x = pooled([words_of(t) for t in batches_of(batch.column(1))], hasher, shared.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))], names=["y", "x"])
 
     rows = chosen.select("_label", text).mapInArrow(run, "y int, x array<float>").toArrow()
@@ -255,7 +270,7 @@ def score(df: DataFrame, vectors: np.ndarray, net: Network, text: str = "text",
         vectors, net = shared.value
         hasher = Hasher()
         for batch in batches:
-            p = net.probability(pooled([t.split() for t in batches_of(batch.column(at))], hasher, vectors))
+            p = net.probability(pooled([words_of(t) for t in batches_of(batch.column(at))], hasher, vectors))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -51,3 +51,10 @@ def test_temperature_calibrates():
     for lo in (0.0, 0.25, 0.5, 0.75):
         part = (p >= lo) & (p < lo + 0.25)
         assert abs(p[part].mean() - y[part].mean()) < 0.08
+
+
+def test_long_words_count_whole():
+    text = "a" * 200 + "1" + "b" * 63 + " end"
+    assert "".join(quality.words_of(text)) == text.replace(" ", "") and max(map(len, quality.words_of(text))) == quality.PIECE
+    assert quality.words_of("two words") == ["two", "words"] and quality.words_of("") == []
+    assert quality.shape("aB9" * 20) != quality.shape("aB9" * 19 + "aB-")
