@@ -26,7 +26,7 @@ from siltstone.llm.common import batches_of, bound_batches, free_name, stored
 WORDS = 5
 SIMILARITY = 0.8
 
-#: Bands of the signature and coordinates in each: a pair at 0.8 shares no band once in 24,000 times.
+#: Bands of the signature and coordinates in each: a pair at 0.8 shares no band once in 20,446 times.
 BANDS, ROWS = 25, 5
 
 #: Distinct words a worker remembers the hashes of.
