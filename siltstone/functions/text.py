@@ -100,6 +100,16 @@ def glob_regex(pattern: str) -> str:
     return f"(?s)^{out}$"
 
 
+def pseudonym(serial: Column, key: bytes) -> Column:
+    """HMAC-SHA256 of a serial number under a key, as lower-case hex; null for null."""
+    import hashlib
+
+    key = hashlib.sha256(key).digest() if len(key) > 64 else key
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    first = F.sha2(F.concat(F.lit(inner), serial.cast("string").cast("binary")), 256)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
+
+
 def glob_answer(path: Column, answers: dict[str, str]) -> Column:
     """The answer of the last pattern that matches."""
     return reduce(lambda old, kv: F.when(path.rlike(glob_regex(kv[0])), kv[1]).otherwise(old), answers.items(), F.lit(None).cast("string"))

@@ -32,6 +32,19 @@ def only(items: DataFrame, **entities: str) -> DataFrame:
     return found
 
 
+def output(found: DataFrame, columns: list[str], form: str = "json") -> DataFrame:
+    """(value): results as JSON lines, CSV lines (empty for missing), paths, or their count."""
+    if form == "json":
+        return found.select(F.to_json(F.struct(*columns)).alias("value"))
+    if form == "csv":
+        return found.select(F.to_csv(F.struct(*columns)).alias("value"))
+    if form == "paths":
+        return found.select(F.col("path").alias("value"))
+    if form == "count":
+        return found.agg(F.count("*").cast("string").alias("value"))
+    raise ValueError("the form is json, csv, paths or count")
+
+
 def under(items: DataFrame, path: str) -> DataFrame:
     """The item at ``path`` and all below it, in path order."""
     path = path.strip("/")

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Combinations of entity names among sidecars that a plan may hold.
+KEY_SETS = 200
+
+
 def overlaid(published: DataFrame, staged: DataFrame, removed: DataFrame | None = None, key: str = "sub") -> DataFrame:
     """Published rows, those of staged or removed subjects replaced by the staged ones."""
     kept = published.join(staged.select(key).distinct(), key, "left_anti")
@@ -41,8 +45,9 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], left_time: str, righ
     group = Window.partitionBy(*by)
     mark = F.when(F.col("_side") == (1 if forward else 0), F.struct("_t", "_v"))
     if forward:
-        order = group.orderBy(F.col("_t"), F.col("_side"), F.col("_v"))
-        near = F.first(mark, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
+        # What follows, as what precedes in the reverse order, so that the frame only grows.
+        order = group.orderBy(F.desc("_t"), F.desc("_side"), F.desc("_v"))
+        near = F.last(mark, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
         rest = F.max(mark).over(group)
     else:
         order = group.orderBy(F.col("_t"), F.col("_side"), F.col("_v"))
@@ -58,14 +63,28 @@ def inherited(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     ``files`` (path, dir, entities map, suffix); ``sidecars`` (dir, entities map, suffix, key, value). A
     sidecar applies to files of its suffix in its folder or below whose entities contain its own. Deeper
     folders win, then more entities; two values of one rank are a conflict. Every file meets its ancestors'
-    sidecars by equality of folder and suffix, so no side is read against all of the other.
+    sidecars by equality of folder, suffix and the values of the entities that some sidecar names, so no file
+    is read against a sidecar that doesn't apply to it. The sets of entity names in use (a handful) are known
+    to the plan; more than KEY_SETS of them are an error.
     """
+    sets = [r[0] for r in sidecars.select(F.array_sort(F.map_keys("entities")).alias("names")).distinct().limit(KEY_SETS + 1).collect()]
+    if len(sets) > KEY_SETS:
+        raise ValueError(f"sidecars name entities in more than {KEY_SETS} combinations")
+    if not sets:
+        sets = [[]]
+
+    def values(entities: Column, names: Column) -> Column:
+        # Null if a name is missing, as concat has it.
+        given = F.transform(names, lambda n: F.concat(n, F.lit("\u0001"), F.try_element_at(entities, n)))
+        return F.when(F.forall(given, lambda g: g.isNotNull()), F.array_join(given, "\u0002"))
+
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     spread = files.select("path", "suffix", F.col("entities").alias("own"), F.explode(F.array_distinct(ancestors)).alias("dir"))
-    met = spread.join(sidecars, ["dir", "suffix"])
-    fits = F.forall(F.map_entries("entities"), lambda e: F.try_element_at(F.col("own"), e["key"]).eqNullSafe(e["value"]))
-    ranked = met.where(fits).withColumn("rank", F.struct(F.size(F.split("dir", "/")) * F.when(F.col("dir") == "", 0).otherwise(1), F.size("entities")))
+    known = F.array(*[F.array(*[F.lit(n) for n in names]).cast("array<string>") for names in sets])
+    spread = spread.select("path", "suffix", "dir", F.explode(F.transform(known, lambda names: values(F.col("own"), names))).alias("_of")).where("_of is not null")
+    named = sidecars.withColumn("_of", values(F.col("entities"), F.array_sort(F.map_keys("entities"))))
+    ranked = spread.distinct().join(named, ["dir", "suffix", "_of"]).withColumn("rank", F.struct(F.size(F.split("dir", "/")) * F.when(F.col("dir") == "", 0).otherwise(1), F.size("entities")))
     best = ranked.groupBy("path", "key", "rank").agg(F.min("value").alias("value"), (F.countDistinct("value") > 1).alias("conflict"))
     top = best.groupBy("path", "key").agg(F.max(F.struct("rank", "value", "conflict")).alias("top"))
     return top.select("path", "key", "top.value", "top.conflict")
@@ -73,7 +92,30 @@ def inherited(files: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 def beside(files: DataFrame, sidecars: DataFrame) -> DataFrame:
     """Files with the sidecars of their folder whose stem begins with theirs."""
-    return files.join(sidecars, (files["dir"] == sidecars["dir"]) & F.startswith(sidecars["stem"], files["stem"]), "left").select(files["*"], sidecars["stem"].alias("sidecar"))
+    # A sidecar is found under each of its beginnings, by equality.
+    stem = F.col("stem")
+    starts = F.explode(F.transform(F.sequence(F.lit(0), F.length(stem)), lambda n: F.substr(stem, F.lit(1), n))).alias("stem")
+    heads = sidecars.select("dir", starts, F.col("stem").alias("sidecar"))
+    return files.join(heads, ["dir", "stem"], "left").select(*files.columns, "sidecar")
+
+
+def with_fallbacks(df: DataFrame, sources: list[tuple[DataFrame, str, str]], into: str, default: str = "n/a") -> DataFrame:
+    """``df`` with the first value that its sources (table, key, value) have, in their order, else a default."""
+    names = []
+    for n, (source, key, value) in enumerate(sources):
+        names.append(f"_{into}{n}")
+        df = df.join(source.select(key, F.col(value).alias(names[-1])), key, "left")
+    return df.withColumn(into, F.coalesce(*names, F.lit(default))).drop(*names)
+
+
+def orphans(df: DataFrame, support: DataFrame, by: list[str]) -> DataFrame:
+    """(by) of rows without any supporting row, each once."""
+    return df.select(*by).distinct().join(support.select(*by), by, "left_anti")
+
+
+def superseded(df: DataFrame, newer: DataFrame, key: str) -> DataFrame:
+    """``df`` without rows that a newer one replaces."""
+    return df.join(newer.select(key), key, "left_anti")
 
 
 def first_seen(df: DataFrame, key: Column | str, order: list[str]) -> DataFrame:

@@ -76,3 +76,26 @@ def patched(chunks: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:
 def middle_chunk(n: Column, step: Column) -> Column:
     """The chunk in the middle, as a sample of the recording."""
     return F.floor(F.floor((n + step - 1) / step) / 2).cast("bigint")
+
+
+def onsets(df: DataFrame, group: list[str], time: str, into: str = "onset") -> DataFrame:
+    """Rows with their time since the group's first; the first of each group is joined, so no group is one task's."""
+    first = df.groupBy(*group).agg(F.min(time).alias("_first"))
+    return df.join(first, group).withColumn(into, F.col(time) - F.col("_first")).drop("_first")
+
+
+def with_annotations(segments: DataFrame, annotations: DataFrame, by: list[str]) -> DataFrame:
+    """Segments with the number of annotations of their recording; 0 without any."""
+    counted = annotations.groupBy(*by).agg(F.count("*").alias("n_annotations"))
+    return segments.join(counted, by, "left").withColumn("n_annotations", F.coalesce("n_annotations", F.lit(0)))
+
+
+def channel_name(table_name: Column, stored_name: Column, prefix: Column, number: Column) -> Column:
+    """A channel's name: the channels table's, else the stored one, else a prefix and its number."""
+    return F.coalesce(table_name, stored_name, F.concat(prefix, number))
+
+
+def changed_chunks(new: DataFrame, old: DataFrame, keys: list[str], samples: str = "samples") -> DataFrame:
+    """The chunks of ``new`` that ``old`` lacks or has otherwise: all that a write has to touch."""
+    before = old.select(*keys, F.col(samples).alias("_before"))
+    return new.join(before, keys, "left").where(~F.col(samples).eqNullSafe(F.col("_before"))).drop("_before")

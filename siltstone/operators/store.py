@@ -1,8 +1,10 @@
 """A versioned catalogue on shared storage: Parquet snapshots of subjects, and a log of commits.
 
-A commit writes the touched subjects under a new snapshot folder and then one log entry, which is what
-makes it visible; readers plan against one entry, so they see a version whole. Log entries are JSON files,
-read and written through Spark's file systems.
+A commit writes the touched subjects under a new snapshot folder, then one log entry, then the next
+numbered entry of its branch, which is what makes it visible. That entry is created, never overwritten, so of
+two writers that started from the same version one is told that the branch has moved on. Readers plan
+against one entry, so they see a version whole. Entries are JSON files, read and written through Spark's
+file systems; an entry of the log never changes and is read once.
 """
 
 from __future__ import annotations
@@ -21,14 +23,23 @@ class StoreError(RuntimeError):
     """The operation doesn't fit the store's state."""
 
 
+def _of(rows: DataFrame, subs: set[str], owned: set[str]) -> DataFrame:
+    """The rows of some subjects; all rows, without a filter, if a frame has no others."""
+    return rows if owned and owned <= subs else rows.where(F.col("sub").isin(sorted(subs)))
+
+
 class Repository:
     """Items by subject, with branches, tags and history."""
 
     def __init__(self, spark: SparkSession, root: str, branch: str = "main"):
         self.spark, self.root, self.branch = spark, root.rstrip("/"), branch
-        self.staged: dict[str, DataFrame] = {}
+        #: Staged frames, and which of them has each staged subject's items.
+        self._frames: list[DataFrame] = []
+        self._owned: list[set[str]] = []
+        self.staged: dict[str, int] = {}
         self.removed: set[str] = set()
         self._seen: str | None = None
+        self._known: dict[str, dict] = {}
 
     # Files, by Hadoop's own API, so that any of its storages will do.
     def _fs(self, path: str):
@@ -57,45 +68,67 @@ class Repository:
 
     # History
     def commits(self) -> dict[str, dict]:
-        return {n: self._read(f"log/{n}") for n in self._names("log")}
+        return {n: self.entry(n) for n in self._names("log")}
+
+    def entry(self, commit: str) -> dict:
+        """A version's log entry: id, parents, message, ts and pins."""
+        if commit not in self._known:
+            self._known[commit] = self._read(f"log/{commit}")
+        return self._known[commit]
+
+    def _ref(self, kind: str, name: str) -> tuple[int, str | None]:
+        """The number of a branch's or tag's last entry, and the version it names."""
+        names = self._names(f"refs/{kind}-{name}")
+        return (int(names[-1]), self._read(f"refs/{kind}-{name}/{names[-1]}")["id"]) if names else (-1, None)
+
+    def _point(self, kind: str, name: str, commit: str, after: int) -> None:
+        """Make the entry that follows entry ``after``; someone else having made it is a conflict."""
+        try:
+            self._write(f"refs/{kind}-{name}/{after + 1:012d}", {"id": commit}, overwrite=False)
+        except Exception as error:
+            if "already exists" in str(error):
+                raise StoreError("the branch has moved on") from error
+            raise
 
     def head(self) -> str | None:
-        return (self._read(f"refs/branch-{self.branch}") or {}).get("id")
+        return self._ref("branch", self.branch)[1]
 
     def resolve(self, version: str | None = None) -> str | None:
         """A branch, tag, id, unique prefix of six or more signs, or REF~N."""
         if version is None:
             return self.head()
         name, mark, back = version.partition("~")
-        found = next((r["id"] for kind in ("branch", "tag") if (r := self._read(f"refs/{kind}-{name}"))), None)
-        log = self.commits()
+        found = next((r for kind in ("branch", "tag") if (r := self._ref(kind, name)[1])), None)
         if found is None:
-            fits = [c for c in log if c == name or (len(name) >= 6 and c.startswith(name))]
+            fits = [c for c in self._names("log") if c == name or (len(name) >= 6 and c.startswith(name))]
             if len(fits) != 1:
                 raise StoreError(f"{'no' if not fits else 'more than one'} version {name!r}")
             found = fits[0]
         for _ in range(int(back or 1) if mark else 0):
-            if not log[found]["parents"]:
+            if not self.entry(found)["parents"]:
                 raise StoreError(f"{version!r} lies before the first version")
-            found = log[found]["parents"][0]
+            found = self.entry(found)["parents"][0]
         return found
 
     def log(self) -> list[tuple[str, str]]:
         """(id, message) of the branch, newest first."""
-        out, at, log = [], self.head(), self.commits()
+        out, at = [], self.head()
         while at:
-            out.append((at, log[at]["message"]))
-            at = next(iter(log[at]["parents"]), None)
+            out.append((at, self.entry(at)["message"]))
+            at = next(iter(self.entry(at)["parents"]), None)
         return out
 
     def read(self, version: str | None = None, include_staged: bool = False) -> DataFrame:
         """The items of a version, only the snapshots it pins; staged subjects in place of theirs, if asked."""
         at = self.resolve(version)
-        pins = self.commits()[at]["pins"] if at else {}
+        pins = self.entry(at)["pins"] if at else {}
         if include_staged:
             pins = {s: p for s, p in pins.items() if s not in self.staged and s not in self.removed}
-        parts = [self.spark.read.parquet(f"{self.root}/data/{pin}").where(F.col("sub").isin(sorted(s for s, p in pins.items() if p == pin))) for pin in sorted(set(pins.values()))]
-        parts += list({id(d): d for d in self.staged.values()}.values()) if include_staged else []
+        by_pin: dict[str, set[str]] = {}
+        for sub, pin in pins.items():
+            by_pin.setdefault(pin, set()).add(sub)
+        parts = [_of(self.spark.read.parquet(f"{self.root}/data/{pin}"), subs, self._within(pin)) for pin, subs in sorted(by_pin.items())]
+        parts += self._staged_frames() if include_staged else []
         if not parts:
             return self.spark.createDataFrame([], "sub string, path string")
         out = parts[0]
@@ -103,6 +136,15 @@ class Repository:
             out = out.unionByName(part, allowMissingColumns=True)
         return out
 
+    def _within(self, pin: str) -> set[str]:
+        """The subjects that a snapshot was written with."""
+        return {s for s, p in (self.entry(pin) or {"pins": {}})["pins"].items() if p == pin}
+
+    def _staged_frames(self) -> list[DataFrame]:
+        """One plan for each ingest, not for each subject."""
+        live = [{s for s, k in self.staged.items() if k == n} for n in range(len(self._frames))]
+        return [_of(frame, subs, owned) for frame, subs, owned in zip(self._frames, live, self._owned, strict=True) if subs]
+
     # Changes
     def add(self, items: DataFrame, existing: str = "error") -> None:
         """Stage whole subjects' items; paths already there are an error, skipped or replaced."""
@@ -118,14 +160,47 @@ class Repository:
         touched = items.select("sub").distinct()
         rest = current.join(touched, "sub", "left_semi").join(items.select("path"), "path", "left_anti")
         staged = rest.unionByName(items, allowMissingColumns=True) if current.columns != ["sub", "path"] else items
-        for row in touched.collect():  # subjects of one ingest
-            self.staged[row["sub"]] = staged.where(F.col("sub") == row["sub"])
-            self.removed.discard(row["sub"])
+        self._stage(staged, {row["sub"] for row in touched.collect()})  # subjects of one ingest
+
+    def _stage(self, frame: DataFrame, subs: set[str]) -> None:
+        """``frame`` holds all items of these subjects from now on."""
+        self._frames.append(frame)
+        self._owned.append(subs)
+        self.staged |= dict.fromkeys(subs, len(self._frames) - 1)
+        self.removed -= subs
 
     def remove(self, sub: str) -> None:
         self.staged.pop(sub, None)
         self.removed.add(sub)
 
+    def remove_items(self, path: str) -> int:
+        """Stage the removal of what is at or below a path; returns how many items go. None is an error."""
+        now = self.read(include_staged=True)
+        return self._rewritten(now, versions.without(now, path), path)
+
+    def move(self, old: str, new: str) -> int:
+        """Stage what is at or below a path under another, which must be free; the subject follows the path."""
+        now = self.read(include_staged=True)
+        if not versions.under(now, new).isEmpty():
+            raise StoreError(f"{new} exists")
+        return self._rewritten(now, versions.moved(now, old, new).withColumn("sub", F.split_part("path", F.lit("/"), F.lit(1))), old)
+
+    def _rewritten(self, before: DataFrame, after: DataFrame, path: str) -> int:
+        gone = versions.under(before, path)
+        count = gone.count()
+        if not count:
+            raise StoreError(f"there is no {path}")
+        left = {r["sub"] for r in gone.select("sub").distinct().collect()}
+        entered = after.join(before.select("path"), "path", "left_anti")
+        whole = left | {r["sub"] for r in entered.select("sub").distinct().collect()}
+        frame = after.where(F.col("sub").isin(sorted(whole)))
+        still = {r["sub"] for r in frame.select("sub").distinct().collect()}
+        for sub in whole - still:
+            self.remove(sub)
+        if still:
+            self._stage(frame, still)
+        return count
+
     def status(self) -> dict[str, list[str]]:
         return {"staged": sorted(self.staged), "removed": sorted(self.removed)}
 
@@ -134,72 +209,94 @@ class Repository:
         for sub in subs or [*self.staged, *self.removed]:
             self.staged.pop(sub, None)
             self.removed.discard(sub)
+        if not self.staged:
+            self._frames, self._owned = [], []
 
     def commit(self, message: str, parents: list[str] | None = None, expected: str | None = None) -> str | None:
         """Publish what is staged; None if nothing is. A branch that moved on since is a conflict."""
         if not self.staged and not self.removed:
             return None
-        head = self.head()
+        number, head = self._ref("branch", self.branch)
         if expected is not None and head != expected:
             raise StoreError("the branch has moved on")
-        pins = dict(self.commits()[head]["pins"]) if head else {}
+        pins = dict(self.entry(head)["pins"]) if head else {}
         new = uuid.uuid4().hex
         if self.staged:
-            frames = list(self.staged.values())
+            frames = self._staged_frames()
             out = frames[0]
             for f in frames[1:]:
                 out = out.unionByName(f, allowMissingColumns=True)
             out.repartition("sub").sortWithinPartitions("sub", "path").write.parquet(f"{self.root}/data/{new}")
         pins |= dict.fromkeys(self.staged, new)
-        return self._publish({s: p for s, p in pins.items() if s not in self.removed}, message, parents if parents is not None else [head] if head else [], new)
+        return self._publish({s: p for s, p in pins.items() if s not in self.removed}, message, parents if parents is not None else [head] if head else [], number, new)
 
-    def _publish(self, pins: dict[str, str], message: str, parents: list[str], new: str | None = None) -> str:
+    def _publish(self, pins: dict[str, str], message: str, parents: list[str], number: int, new: str | None = None) -> str:
+        """Make a version the one after entry ``number`` of the branch; what is staged stays so on a conflict."""
         new = new or uuid.uuid4().hex
         self._write(f"log/{new}", {"id": new, "parents": parents, "message": message, "ts": time.time(), "pins": pins}, overwrite=False)
-        self._write(f"refs/branch-{self.branch}", {"id": new})
-        self.staged, self.removed = {}, set()
+        self._point("branch", self.branch, new, number)
+        self.staged, self.removed, self._frames, self._owned = {}, set(), [], []
         return new
 
     def branch_off(self, name: str, version: str | None = None) -> None:
-        if self._read(f"refs/branch-{name}"):
+        if self._ref("branch", name)[1]:
             raise StoreError(f"branch {name} exists")
-        self._write(f"refs/branch-{name}", {"id": self.resolve(version)})
+        self._point("branch", name, self.resolve(version), -1)
 
     def switch(self, name: str) -> None:
-        if not self._read(f"refs/branch-{name}"):
+        if not self._ref("branch", name)[1]:
             raise StoreError(f"no branch {name}")
         self.branch = name
 
     def tag(self, name: str, version: str | None = None) -> None:
-        if self._read(f"refs/tag-{name}"):
+        if self._ref("tag", name)[1]:
             raise StoreError(f"tag {name} exists")
-        self._write(f"refs/tag-{name}", {"id": self.resolve(version)})
+        self._point("tag", name, self.resolve(version), -1)
+
+    def clone(self, root: str, version: str | None = None) -> Repository:
+        """A copy of the store elsewhere: all of it, or (shallow) one version without what came before."""
+        to = Repository(self.spark, root, self.branch)
+        fs, source = self._fs(self.root)
+        other, target = self._fs(to.root)
+        if other.exists(target):
+            raise StoreError(f"{root} exists")
+        if version is None:
+            jvm = self.spark.sparkContext._jvm
+            jvm.org.apache.hadoop.fs.FileUtil.copy(fs, source, other, target, False, self.spark.sparkContext._jsc.hadoopConfiguration())
+            return to
+        rows = self.read(version)
+        to._stage(rows, {r["sub"] for r in rows.select("sub").distinct().collect()})
+        to.commit(f"Version {self.resolve(version)}")
+        return to
 
     def diff(self, a: str | None = None, b: str | None = None) -> DataFrame:
         """Paths added, removed and changed from a to b; without b, to what is staged."""
         return versions.difference(self.read(a), self.read(b) if b is not None else self.read(include_staged=True))
 
     def _history(self, at: str) -> dict[str, int]:
-        log, depth, front = self.commits(), {at: 0}, [at]
+        depth, front = {at: 0}, [at]
         while front:
-            front = [p for c in front for p in log[c]["parents"] if depth.setdefault(p, depth[c] + 1) == depth[c] + 1 and p in log]
-            if len(depth) > len(log) + 1:
-                break
+            near = [(p, depth[c] + 1) for c in front for p in self.entry(c)["parents"]]
+            front = []
+            for p, d in near:
+                if p not in depth:
+                    depth[p] = d
+                    front.append(p)
         return depth
 
     def merge(self, other: str, message: str | None = None, prefer: str | None = None) -> str:
         """Bring another branch's subjects here; a subject both changed is merged item by item."""
-        theirs, mine, log = self.resolve(other), self.head(), self.commits()
+        theirs, (number, mine) = self.resolve(other), self._ref("branch", self.branch)
         own = self._history(mine)
         history = self._history(theirs)
         if theirs in own:
             return mine
         if mine in history:
-            self._write(f"refs/branch-{self.branch}", {"id": theirs})
+            self._point("branch", self.branch, theirs, number)
             return theirs
         base = min((c for c in history if c in own), key=lambda c: history[c], default=None)
-        old, a, b = (log[base]["pins"] if base else {}), log[mine]["pins"], log[theirs]["pins"]
-        pins, both = {}, []
+        old, a, b = (self.entry(base)["pins"] if base else {}), self.entry(mine)["pins"], self.entry(theirs)["pins"]
+        pins, both, new = {}, [], None
         for sub in sorted(set(old) | set(a) | set(b)):
             if a.get(sub) == old.get(sub) or a.get(sub) == b.get(sub):
                 pins[sub] = b.get(sub)
@@ -213,29 +310,39 @@ class Repository:
             new = uuid.uuid4().hex
             found.write.parquet(f"{self.root}/data/{new}")
             pins |= dict.fromkeys(both, new)
-        return self._publish({s: p for s, p in pins.items() if p}, message or f"Merge {other}", [mine, theirs])
+        return self._publish({s: p for s, p in pins.items() if p}, message or f"Merge {other}", [mine, theirs], number, new)
 
     def revert(self, version: str, message: str | None = None) -> str:
         """Undo one version's pins; refused for subjects that changed again since."""
-        at, log = self.resolve(version), self.commits()
-        after = log[at]["pins"]
-        before = log[log[at]["parents"][0]]["pins"] if log[at]["parents"] else {}
-        pins = dict(log[self.head()]["pins"])
+        at, (number, head) = self.resolve(version), self._ref("branch", self.branch)
+        after, parents = self.entry(at)["pins"], self.entry(at)["parents"]
+        before = self.entry(parents[0])["pins"] if parents else {}
+        pins = dict(self.entry(head)["pins"])
         for sub in set(before) | set(after):
             if before.get(sub) != after.get(sub):
                 if pins.get(sub) != after.get(sub):
                     raise StoreError(f"{sub} changed after {version}")
                 pins[sub] = before.get(sub)
-        return self._publish({s: p for s, p in pins.items() if p}, message or f"Revert {version}", [self.head()])
+        return self._publish({s: p for s, p in pins.items() if p}, message or f"Revert {version}", [head], number)
 
     def gc(self, older_than: float, dry_run: bool = True) -> list[str]:
-        """Snapshots that no version before a branch or tag pins, committed before ``older_than``."""
-        log = self.commits()
+        """Snapshots that no version before a branch or tag pins, written before ``older_than``.
+
+        A snapshot without a log entry may be one that a commit is still writing: it is as old as its folder.
+        """
+
+        def written(snapshot: str) -> float:
+            entry = self._read(f"log/{snapshot}")
+            if entry:
+                return entry["ts"]
+            fs, path = self._fs(f"{self.root}/data/{snapshot}")
+            return max(s.getModificationTime() for s in (fs.getFileStatus(path), *fs.listStatus(path))) / 1000
+
         live: set[str] = set()
         for ref in self._names("refs"):
-            for c in self._history(self._read(f"refs/{ref}")["id"]):
-                live |= set(log[c]["pins"].values())
-        gone = [d for d in self._names("data") if d not in live and (log.get(d) or {"ts": 0})["ts"] < older_than]
+            for c in self._history(self._ref(*ref.split("-", 1))[1]):
+                live |= set(self.entry(c)["pins"].values())
+        gone = [d for d in self._names("data") if d not in live and written(d) < older_than]
         for d in [] if dry_run else gone:
             fs, path = self._fs(f"{self.root}/data/{d}")
             fs.delete(path, True)

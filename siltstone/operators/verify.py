@@ -66,6 +66,30 @@ def items(source: DataFrame, stored: DataFrame, tolerance: float = 1e-9, key: st
     )
 
 
+def folder(files: DataFrame, participants: DataFrame, description: dict | None = None) -> DataFrame:
+    """Problems of a folder of subjects: (code, severity, message, location).
+
+    ``files`` is a listing; ``participants`` has a column sub. Empty files, files whose name tells of another
+    subject than their folder, subjects without a row, rows without files, and a description that lacks a
+    name or a version.
+    """
+    top = F.regexp_extract("path", r"^(sub-[^/]+)/", 1)
+    told = F.regexp_extract("name", r"^(sub-[^_/]+)_", 1)
+    rows = files.withColumn("_sub", top).withColumn("_told", told)
+    subs = rows.where("_sub <> ''").select(F.col("_sub").alias("sub")).distinct()
+    parts = [
+        issues(rows, F.col("length") == 0, "empty_file", F.lit("the file is empty"), "path"),
+        issues(rows, (F.col("_sub") != "") & (F.col("_told") != "") & (F.col("_sub") != F.col("_told")), "other_subject", F.lit("name and folder differ"), "path"),
+        issues(subs.join(participants.select("sub"), "sub", "left_anti"), F.lit(True), "unlisted_subject", F.lit("no row among the participants"), "sub", "warning"),
+        issues(participants.select("sub").distinct().join(subs, "sub", "left_anti"), F.lit(True), "absent_subject", F.lit("no files"), "sub", "warning"),
+    ]
+    lacking = [name for name in ("Name", "BIDSVersion") if description is not None and name not in description]
+    if lacking:
+        names = files.sparkSession.createDataFrame([(n,) for n in lacking], "name string")
+        parts.append(issues(names, F.lit(True), "description", F.lit("the description lacks this"), "name"))
+    return together(*parts)
+
+
 def store(manifest: DataFrame, index: DataFrame, key: str = "sub") -> DataFrame:
     """Issues between a manifest's subjects (sub, digest) and an index's: either without the other, or digests apart."""
     both = manifest.select(key, F.col("digest").alias("a"), F.lit(1).alias("in_a")).join(index.select(key, F.col("digest").alias("b"), F.lit(1).alias("in_b")), key, "full_outer")

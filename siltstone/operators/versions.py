@@ -15,6 +15,11 @@ def _side(df: DataFrame, key: str, name: str) -> DataFrame:
     return df.select(key, F.struct(*rest).alias(name), F.lit(True).alias(f"in_{name}"))
 
 
+def updated(index: DataFrame, current: DataFrame, changes: DataFrame, key: str = "path") -> DataFrame:
+    """An index brought up to date from its changes alone: the rows of ``current`` that they name, else its own."""
+    return index.join(changes, key, "left_anti").unionByName(current.join(changes.where("change <> 'removed'"), key, "left_semi"))
+
+
 def difference(a: DataFrame, b: DataFrame, key: str = "path") -> DataFrame:
     """(key, change): added, removed or changed from version a to b; one exchange of each."""
     both = _side(a, key, "a").join(_side(b, key, "b"), key, "full_outer")
@@ -54,6 +59,22 @@ def merge(base: DataFrame, mine: DataFrame, other: DataFrame, key: str = "path",
     return ours.unionByName(theirs, allowMissingColumns=True)
 
 
+def moved(df: DataFrame, old: str, new: str, key: str = "path") -> DataFrame:
+    """``df`` with everything at or below one path at another."""
+    below = (F.col(key) == old) | F.startswith(key, F.lit(old + "/"))
+    return df.withColumn(key, F.when(below, F.concat(F.lit(new), F.substr(F.col(key), F.lit(len(old) + 1)))).otherwise(F.col(key)))
+
+
+def under(df: DataFrame, path: str, key: str = "path") -> DataFrame:
+    """What is at or below a path."""
+    return df.where((F.col(key) == path) | F.startswith(key, F.lit(path + "/")))
+
+
+def without(df: DataFrame, path: str, key: str = "path") -> DataFrame:
+    """``df`` without what is at or below a path."""
+    return df.where(~((F.col(key) == path) | F.startswith(key, F.lit(path + "/"))))
+
+
 def clashes(mine: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """What both sides changed."""
     return mine.select(*keys).intersect(other.select(*keys))

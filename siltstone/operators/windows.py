@@ -45,9 +45,10 @@ def islands(df: DataFrame, flag: Column, group: list[str], order: list[str], sfr
 def filled(df: DataFrame, value: str, bad: Column, group: list[str], order: list[str], into: str = "filled") -> DataFrame:
     """Bad readings replaced by the last good one before, else the first good one after."""
     good = F.when(~F.coalesce(bad, F.lit(True)), F.col(value))
-    by = Window.partitionBy(*group).orderBy(*order)
-    before = F.last(good, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(good, ignorenulls=True).over(by.rowsBetween(0, Window.unboundedFollowing))
+    # What follows is what precedes in the reverse order: a frame that grows costs a step a row, one that
+    # shrinks is computed anew for every row.
+    before = F.last(good, ignorenulls=True).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(good, ignorenulls=True).over(Window.partitionBy(*group).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn(into, F.coalesce(before, after))
 
 
@@ -73,6 +74,24 @@ def timing_error(df: DataFrame, group: list[str], time: str, order: list[str], s
     return df.withColumn(into, F.coalesce(F.col(time) - (before + steps * step), F.lit(0.0)))
 
 
+def previous(df: DataFrame, group: list[str], value: str, order: list[str], into: str = "previous", default: str | None = None) -> DataFrame:
+    """The value of the row before, as a lower bound or a former state; ``default`` (or null) for the first."""
+    before = F.lag(value).over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn(into, before if default is None else F.coalesce(before, F.lit(default)))
+
+
+def run_counter(df: DataFrame, group: list[str], order: list[Column | str], into: str = "run") -> DataFrame:
+    """Counts rows of a group from 1 in the order they arrive."""
+    return df.withColumn(into, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
+def biggest_first(df: DataFrame, size: str, workers: int, group: list[str], key: str, into: str = "worker") -> DataFrame:
+    """A worker for each job of a group, jobs dealt from the biggest down, there and back, so that loads are near equal."""
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(size), key)) - 1
+    turn = place % (2 * workers)
+    return df.withColumn(into, F.least(turn, 2 * workers - 1 - turn))
+
+
 def quotas(df: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
     """The first ``most`` rows of each group."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("_r") <= most).drop("_r")

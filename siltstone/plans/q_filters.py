@@ -88,11 +88,12 @@ def find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.find(lenses.items(spark, sf_dir), datatype="en", sub="src2", sfreq="200").select("path")
 
 
-@register("flt20_only_match", f"WITH {SQL_ITEMS} SELECT path, n_samples FROM items WHERE path = 'src2/en/doc-2'")
+@register("flt20_only_match", f"WITH {SQL_ITEMS} SELECT path, n_samples FROM items WHERE path = (SELECT min(path) FROM items)")
 def only(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.operators import catalog
 
-    return catalog.only(lenses.items(spark, sf_dir), path="src2/en/doc-2").select("path", "n_samples")
+    items = lenses.items(spark, sf_dir)
+    return catalog.only(items, path=items.agg(F.min("path")).first()[0]).select("path", "n_samples")
 
 
 @register("flt22_prefix_listing", f"WITH {SQL_ITEMS} SELECT path FROM items WHERE path = 'src1/en' OR starts_with(path, 'src1/en/')")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import verify
+from siltstone.operators import reports, signal, verify
 from siltstone.operators.store import Repository
 from siltstone.plans import lenses
 from siltstone.plans.catalogue import register
@@ -40,7 +40,8 @@ def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("src19_earlier_folder_wins", "SELECT source AS key, arg_min(lang, doc_id) AS value FROM documents GROUP BY 1")
 def earlier_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("key")).agg(F.min_by("lang", "doc_id").alias("value"))
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("key"), F.col("lang").alias("value"), "doc_id")
+    return reports.merged_attribute(docs, "key", "value", "doc_id", earliest=True)
 
 
 @register("src22_edf_header", "SELECT doc_id, make_timestamp(CASE WHEN doc_id % 100 >= 85 THEN 1900 + doc_id % 100 ELSE 2000 + doc_id % 100 END, 2, 1, 3, 4, 5) AS recorded, CAST(doc_id % 1000 AS INTEGER) AS n_channels FROM documents")
@@ -57,8 +58,7 @@ def changed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", chunk).select("vec_id", "chunk", F.slice("embedding", F.col("chunk").cast("int") * 16 + 1, F.lit(16)).alias("samples"))
     edit = (F.col("vec_id") + F.col("chunk")) % 5 == 0
     new = old.withColumn("samples", F.when(edit, F.transform("samples", lambda x: x + F.lit(1.0).cast("float"))).otherwise(F.col("samples")))
-    both = new.join(old.withColumnRenamed("samples", "before"), ["vec_id", "chunk"], "left")
-    return both.where(~F.col("samples").eqNullSafe(F.col("before"))).select("vec_id", "chunk")
+    return signal.changed_chunks(new, old, ["vec_id", "chunk"]).select("vec_id", "chunk")
 
 
 @register("set06_set14_log_and_status", "SELECT * FROM (VALUES (0, 'third'), (1, 'second'), (2, 'first')) t(age, message)")

@@ -34,9 +34,9 @@ def joi03(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlaid(items, staged, removed).select("path", "n_samples")
 
 
-@register("joi06_sidecar_inheritance", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'file' WHEN source = 'src1' THEN 'deep' ELSE 'root' END AS value FROM documents WHERE doc_id < 200")
+@register("joi06_sidecar_inheritance", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'file' WHEN source = 'src1' THEN 'deep' ELSE 'root' END AS value FROM documents")
 def joi06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 200")
+    docs = table(spark, sf_dir, "documents")
     entity = F.create_map(F.lit("run"), F.col("doc_id").cast("string"), F.lit("sub"), F.col("source"))
     files = docs.select(F.col("doc_id").alias("path"), F.concat(F.lit("data/"), "source").alias("dir"), entity.alias("entities"), F.lit("eeg").alias("suffix"))
     empty = F.create_map().cast("map<string,string>")
@@ -48,10 +48,10 @@ def joi06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), "value")
 
 
-@register("joi07_sidecars_by_stem", "WITH p AS (SELECT page_id, page_id % 10 AS dir, CAST(page_id AS VARCHAR) AS stem FROM pages WHERE page_id < 400), s AS (SELECT doc_id % 10 AS dir, CAST(doc_id AS VARCHAR) AS stem FROM documents WHERE doc_id < 400) SELECT p.page_id, s.stem AS sidecar FROM p LEFT JOIN s ON p.dir = s.dir AND starts_with(s.stem, p.stem)")
+@register("joi07_sidecars_by_stem", "WITH p AS (SELECT page_id, page_id % 10 AS dir, CAST(page_id AS VARCHAR) AS stem FROM pages), s AS (SELECT doc_id % 10 AS dir, CAST(doc_id AS VARCHAR) AS stem FROM documents) SELECT p.page_id, s.stem AS sidecar FROM p LEFT JOIN s ON p.dir = s.dir AND starts_with(s.stem, p.stem)")
 def joi07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "pages").where("page_id < 400").select("page_id", (F.col("page_id") % 10).alias("dir"), F.col("page_id").cast("string").alias("stem"))
-    sides = table(spark, sf_dir, "documents").where("doc_id < 400").select((F.col("doc_id") % 10).alias("dir"), F.col("doc_id").cast("string").alias("stem"))
+    files = table(spark, sf_dir, "pages").select("page_id", (F.col("page_id") % 10).alias("dir"), F.col("page_id").cast("string").alias("stem"))
+    sides = table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("dir"), F.col("doc_id").cast("string").alias("stem"))
     return joins.beside(files, sides).select("page_id", "sidecar")
 
 
@@ -59,8 +59,8 @@ def joi07(spark: SparkSession, sf_dir: str) -> DataFrame:
 def joi11(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderpriority")
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("l_suppkey"), "c_mktsegment")
-    rows = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey", "left").join(people, "l_suppkey", "left")
-    return rows.select("l_orderkey", "l_linenumber", F.coalesce("o_orderpriority", "c_mktsegment", F.lit("n/a")).alias("label"))
+    rows = joins.with_fallbacks(table(spark, sf_dir, "lineitem"), [(orders, "l_orderkey", "o_orderpriority"), (people, "l_suppkey", "c_mktsegment")], "label")
+    return rows.select("l_orderkey", "l_linenumber", "label")
 
 
 @register(
@@ -110,13 +110,13 @@ def joi16(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("joi17_orphans", "SELECT DISTINCT e.user_id, CAST(e.ts AS DATE) AS day FROM events e WHERE e.event_type = 'error' AND NOT EXISTS (SELECT 1 FROM events u WHERE u.user_id = e.user_id AND CAST(u.ts AS DATE) = CAST(e.ts AS DATE) AND u.event_type = 'view')")
 def joi17(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").select("user_id", F.to_date("ts").alias("day"), "event_type")
-    return days.where("event_type = 'error'").select("user_id", "day").distinct().join(days.where("event_type = 'view'"), ["user_id", "day"], "left_anti")
+    return joins.orphans(days.where("event_type = 'error'"), days.where("event_type = 'view'"), ["user_id", "day"])
 
 
 @register("joi18_superseded", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def joi18(spark: SparkSession, sf_dir: str) -> DataFrame:
     newer = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("page_id"))
-    return table(spark, sf_dir, "pages").select("page_id").join(newer, "page_id", "left_anti")
+    return joins.superseded(table(spark, sf_dir, "pages").select("page_id"), newer, "page_id")
 
 
 @register("joi19_create_or_update", "SELECT coalesce(n.k, o.k) AS k, coalesce(n.v, o.v) AS v, o.w AS w FROM (SELECT s_suppkey AS k, s_name AS v, s_acctbal AS w FROM supplier WHERE s_suppkey % 2 = 0) o FULL OUTER JOIN (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'new' END AS v FROM supplier WHERE s_suppkey % 3 = 0) n ON o.k = n.k")
@@ -171,11 +171,11 @@ def win06(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.filled(events, "value", numeric.invalid(F.col("value") * 15000), ["user_id"], ["ts", "event_id"]).select("event_id", "filled")
 
 
-_TIMES = "times AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value FROM events WHERE event_id % 5 = 0)"
+_TIMES = "times AS (SELECT event_id, user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t, value FROM events)"
 
 
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").where("event_id % 5 = 0")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value")
 
 
@@ -203,10 +203,7 @@ def win08(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("win09_previous_end", f"WITH {_TIMES} SELECT event_id, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before FROM times")
 def win09(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("user_id").orderBy("t", "event_id")
-    return _times(spark, sf_dir).select("event_id", F.lag("t").over(by).alias("before"))
+    return windows.previous(_times(spark, sf_dir), ["user_id"], "t", ["t", "event_id"], "before").select("event_id", "before")
 
 
 @register("win10_quotas", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 3")
@@ -226,11 +223,8 @@ def win12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("win13_run_counter", "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY CASE WHEN value >= 50 THEN 0 ELSE 1 END, ts, event_id) AS run FROM events")
 def win13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rank = F.when(F.col("value") >= 50, 0).otherwise(1)
-    by = Window.partitionBy("user_id", "event_type").orderBy(rank, "ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.row_number().over(by).alias("run"))
+    return windows.run_counter(table(spark, sf_dir, "events"), ["user_id", "event_type"], [rank, "ts", "event_id"]).select("event_id", "run")
 
 
 @register("srt01_subject_path_order", f"WITH {SQL_ITEMS} SELECT path, row_number() OVER (PARTITION BY sub ORDER BY path) AS place FROM items")

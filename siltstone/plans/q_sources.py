@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.functions import text
+from siltstone.operators import catalog, reports, verify
+from siltstone.operators import windows as ordering
 from siltstone.operators.store import Repository
 from siltstone.plans import lenses
 from siltstone.plans.catalogue import register
@@ -42,10 +45,10 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.manifest(spark, path).select("sub", "path", F.try_element_at("entities", F.lit("run")).alias("run"), "kind")
 
 
-@register("src23_fingerprint", "SELECT doc_id, strlen(text) || '-' || sha256(text || text) AS mark FROM documents WHERE strlen(text) < 1000")
+@register("src23_fingerprint", "WITH h AS (SELECT doc_id, strlen(text) AS n, hex(encode(text)) AS h FROM documents) SELECT doc_id, n || '-' || sha256(unhex(substr(h, 1, 2000) || substr(h, greatest(length(h) - 1999, 1)))) AS mark FROM h")
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    content = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").where(F.octet_length("text") < 1000).select("doc_id", files.fingerprint(content).alias("mark"))
+    # A thousand bytes at either end, so that most texts have bytes between them.
+    return table(spark, sf_dir, "documents").select("doc_id", files.fingerprint(F.col("text").cast("binary"), 1000).alias("mark"))
 
 
 @register("src24_sniff", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'wav' WHEN 1 THEN 'tsv' ELSE 'unknown' END AS format FROM documents")
@@ -82,20 +85,20 @@ def placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("snk05_attrs_merge", "SELECT source AS sub, arg_max(lang, doc_id) AS lang FROM documents GROUP BY 1")
 def attrs_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("sub")).agg(F.max_by("lang", "doc_id").alias("lang"))
+    return reports.merged_attribute(table(spark, sf_dir, "documents").withColumnRenamed("source", "sub"), "sub", "lang", "doc_id")
 
 
 @register("snk08_export_round_trip", f"WITH {SQL_ITEMS} SELECT path, n_samples, sub FROM items WHERE ses = 'fr'")
 def export(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "export")
-    lenses.items(spark, sf_dir).where("ses = 'fr'").select("path", "n_samples", "sub").write.partitionBy("sub").csv(path, sep="\t", header=True)
-    return spark.read.schema("path string, n_samples bigint, sub string").csv(path, sep="\t", header=True)
+    files.export_tables(lenses.items(spark, sf_dir).where("ses = 'fr'").select("path", "n_samples", "sub"), path, "sub")
+    return files.exported(spark, path, "path string, n_samples bigint, sub string")
 
 
 @register("snk09_query_output", f"WITH {SQL_ITEMS} SELECT '{{\"path\":\"' || path || '\",\"n_samples\":' || n_samples || '}}' AS value FROM items WHERE sub = 'src3'")
 def output(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lenses.items(spark, sf_dir).where("sub = 'src3'")
-    return found.select(F.to_json(F.struct("path", "n_samples")).alias("value"))
+    return catalog.output(found, ["path", "n_samples"])
 
 
 @register("str02_watch_commits", "SELECT 2 AS n")
@@ -124,14 +127,103 @@ def include_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("str_windows", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2")
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 day").alias("w")).agg(F.count("*").alias("n"))
-    return by.select("event_type", F.col("w.start").alias("start"), "n")
+    by = watch.window_counts(table(spark, sf_dir, "events"), "ts", "1 day", "1 hour", "event_type")
+    return by.select("event_type", F.col("window.start").cast("timestamp_ntz").alias("start"), F.col("count").alias("n"))
 
 
 @register("udf03_row_callback", "SELECT doc_id, upper(lang) AS lang FROM documents")
 def row_callback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(lang=pdf.lang.str.upper())
+    return files.with_callback(table(spark, sf_dir, "documents").select("doc_id", "lang"), lambda row: row | {"lang": row["lang"].upper()}, "doc_id long, lang string")
 
-    return table(spark, sf_dir, "documents").select("doc_id", "lang").mapInPandas(run, "doc_id long, lang string")
+
+@register("src16_rows_left_out", "SELECT doc_id, n_chars * 2 AS twice FROM documents WHERE n_chars % 2 = 1")
+def rows_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    take = lambda row: {"doc_id": row["doc_id"], "twice": row["n_chars"] * 2} if row["n_chars"] % 2 else None
+    return files.with_callback(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), take, "doc_id long, twice long")
+
+
+@register("src08_samples", "SELECT 's' || p_partkey AS sample_id, 'sub-' || p_size AS sub, p_brand AS brand FROM part")
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "samples")
+    part = table(spark, sf_dir, "part").select(F.concat(F.lit("s"), "p_partkey").alias("sample_id"), F.concat(F.lit("sub-"), "p_size").alias("participant_id"), F.col("p_brand").alias("brand"), F.lit(None).cast("string").alias("note"))
+    part.write.csv(path, sep="\t", header=True, nullValue="n/a")
+    return files.samples(files.tsv(spark, path)).select("sample_id", "sub", F.try_element_at("attributes", F.lit("brand")).alias("brand"))
+
+
+@register("src11_derivatives", "SELECT doc_id, 'derivatives/' || lang AS prefix, source AS dir FROM documents WHERE doc_id % 2 = 0")
+def derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("derivatives/"), "lang", F.lit("/"))).otherwise("")
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(top, "source", F.lit("/f"), "doc_id").alias("path"))
+    return files.derivatives(rows).select("doc_id", "prefix", "dir")
+
+
+@register("src30_headerless_tables", "SELECT user_id AS cardiac, value AS respiratory FROM events")
+def headerless(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "physio")
+    table(spark, sf_dir, "events").select(F.col("user_id").cast("double"), "value").write.csv(path, sep="\t", compression="gzip", nullValue="n/a")
+    return files.headerless(spark, path, ["cardiac", "respiratory"]).withColumn("cardiac", F.col("cardiac").cast("long"))
+
+
+@register("src34_unclaimed", "SELECT doc_id, CASE WHEN n_chars <= 2000 THEN 'embedded' ELSE 'reference' END AS stored FROM documents WHERE lang <> 'en'")
+def unclaimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("length"), "lang")
+    return files.unclaimed(rows, rows.where("lang = 'en'"), "embed", 2000).select(F.col("path").alias("doc_id"), "stored")
+
+
+@register("mth08_provenance", "SELECT doc_id, strlen(text) AS size, sha256(text) AS sha256 FROM documents")
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", files.provenance(F.col("text").cast("binary")).alias("p")).select("doc_id", "p.size", "p.sha256")
+
+
+_INNER, _OUTER = (bytes(b ^ pad for b in b"serial key".ljust(64, b"\0")).hex().upper() for pad in (0x36, 0x5C))
+
+
+@register("mth10_pseudonym", f"SELECT s_suppkey, sha256(unhex('{_OUTER}' || sha256(unhex('{_INNER}' || hex(encode(s_name)))))) AS pseudonym FROM supplier")
+def pseudonym(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select("s_suppkey", text.pseudonym(F.col("s_name"), b"serial key").alias("pseudonym"))
+
+
+_STORE = SQL_ITEMS + ", two AS (SELECT path, sub, n_samples FROM items WHERE sub IN ('src1', 'src2'))"
+
+
+@register("snk07_delete_and_move", f"WITH {_STORE} SELECT regexp_replace(path, '^src2/de/', 'src5/german/') AS path FROM two WHERE NOT starts_with(path, 'src1/en/')")
+def delete_and_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = Repository(spark, scratch(spark, "repo"))
+    repo.add(lenses.items(spark, sf_dir).where("sub in ('src1', 'src2')").select("sub", "path", "n_samples"))
+    repo.commit("two subjects")
+    repo.remove_items("src1/en")
+    repo.move("src2/de", "src5/german")
+    repo.commit("edited")
+    return repo.read().select("path")
+
+
+@register("set16_clone_one_version", f"WITH {_STORE} SELECT path, n_samples, 1 AS versions FROM two WHERE sub = 'src1'")
+def clone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = Repository(spark, scratch(spark, "repo"))
+    rows = lenses.items(spark, sf_dir).select("sub", "path", "n_samples")
+    repo.add(rows.where("sub = 'src1'"))
+    first = repo.commit("one")
+    repo.add(rows.where("sub = 'src2'"))
+    repo.commit("two")
+    to = repo.clone(scratch(spark, "clone"), first)
+    return to.read().select("path", "n_samples").withColumn("versions", F.lit(len(to.log())))
+
+
+@register("srt03_biggest_first", "WITH r AS (SELECT doc_id, (row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) - 1) % 8 AS t FROM documents) SELECT doc_id, CAST(least(t, 7 - t) AS INTEGER) AS worker FROM r")
+def biggest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.biggest_first(table(spark, sf_dir, "documents"), "n_chars", 4, ["source"], "doc_id").select("doc_id", "worker")
+
+
+@register(
+    "ver05_folder_check",
+    "SELECT 'empty_file' AS code, 'sub-' || source || '/sub-' || CASE WHEN doc_id % 50 = 0 THEN 'x' ELSE source END || '_' || doc_id || '.tsv' AS location FROM documents WHERE doc_id % 40 = 0 "
+    "UNION ALL SELECT 'other_subject', 'sub-' || source || '/sub-x_' || doc_id || '.tsv' FROM documents WHERE doc_id % 50 = 0 "
+    "UNION ALL SELECT DISTINCT 'unlisted_subject', 'sub-' || source FROM documents WHERE source NOT IN (SELECT 'src' || n_nationkey FROM nation WHERE n_nationkey > 3) "
+    "UNION ALL SELECT 'absent_subject', 'sub-src' || n_nationkey FROM nation WHERE n_nationkey > 3 AND 'src' || n_nationkey NOT IN (SELECT source FROM documents) "
+    "UNION ALL SELECT 'description', 'BIDSVersion'",
+)
+def folder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("sub-"), F.when(F.col("doc_id") % 50 == 0, "x").otherwise(F.col("source")), F.lit("_"), "doc_id", F.lit(".tsv"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("sub-"), "source", F.lit("/"), name).alias("path"), name.alias("name"), F.when(F.col("doc_id") % 40 == 0, 0).otherwise(F.col("n_chars")).alias("length"))
+    people = table(spark, sf_dir, "nation").where("n_nationkey > 3").select(F.concat(F.lit("sub-src"), "n_nationkey").alias("sub"))
+    return verify.folder(rows, people, {"Name": "test"}).select("code", "location")

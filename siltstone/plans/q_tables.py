@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import tables, verify
+from siltstone.operators import tables, verify, windows
 from siltstone.plans import lenses
 from siltstone.plans.catalogue import register
 from siltstone.plans.lenses import SQL_VERSIONS, table
@@ -68,10 +68,8 @@ def rows_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("unn05b_before_after", "SELECT event_id, event_type AS new, coalesce(lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), 'n/a') AS previous FROM events")
 def before_after(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("new"), F.coalesce(F.lag("event_type").over(by), F.lit("n/a")).alias("previous"))
+    found = windows.previous(table(spark, sf_dir, "events"), ["user_id"], "event_type", ["ts", "event_id"], default="n/a")
+    return found.select("event_id", F.col("event_type").alias("new"), "previous")
 
 
 @register("unn05c_annotation_ends", "SELECT event_id, CAST(event_id AS DOUBLE) AS onset, event_id + value AS \"end\", value AS duration FROM events")

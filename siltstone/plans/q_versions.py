@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import numeric, timefn
-from siltstone.operators import catalog, signal, versions
-from siltstone.plans import lenses
+from siltstone.operators import catalog, reports, signal, versions
+from siltstone.plans import lenses, predicate
 from siltstone.plans.catalogue import register
 from siltstone.plans.lenses import SQL_ITEMS, SQL_VERSIONS, table
 
@@ -29,8 +29,7 @@ def agg03(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg04_bitmap_of_values", "SELECT lang, count(DISTINCT doc_id % 1000) AS n FROM documents GROUP BY lang")
 def agg04(spark: SparkSession, sf_dir: str) -> DataFrame:
-    value = F.col("doc_id") % 1000 + 1
-    maps = table(spark, sf_dir, "documents").groupBy("lang").agg(F.bitmap_construct_agg(F.bitmap_bit_position(value)).alias("bits"))
+    maps = reports.value_bitmaps(table(spark, sf_dir, "documents"), ["lang"], F.col("doc_id") % 1000 + 1)
     return maps.select("lang", F.bitmap_count("bits").alias("n"))
 
 
@@ -44,37 +43,36 @@ def agg05(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("agg06_token_frequency", "SELECT source, count(*) AS n, count(DISTINCT lang) AS langs, count(*) = count(DISTINCT doc_id) AS is_distinct FROM documents GROUP BY source")
 def agg06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("langs"), (F.count("*") == F.countDistinct("doc_id")).alias("is_distinct"))
+    return reports.frequencies(table(spark, sf_dir, "documents"), ["source"], "lang", "doc_id").withColumnRenamed("n_values", "langs")
 
 
-@register("agg07_rule_report", "SELECT CASE WHEN doc_id % 4 = 0 THEN 'answer' ELSE 'folder' END AS rule, count(*) AS n FROM documents GROUP BY 1")
+@register("agg07_rule_report", "SELECT 'subject' AS what, CASE WHEN doc_id % 4 = 0 THEN 'answer' ELSE 'folder' END AS rule, count(*) AS n FROM documents GROUP BY 1, 2 UNION ALL SELECT 'session', CASE WHEN lang IN ('en', 'de') THEN 'tag' ELSE 'default' END, count(*) FROM documents GROUP BY 1, 2")
 def agg07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.when(F.col("doc_id") % 4 == 0, "answer").otherwise("folder").alias("rule")).agg(F.count("*").alias("n"))
+    subject = catalog.cascade({"answer": F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("s"), "doc_id")), "folder": F.col("source")})
+    session = catalog.cascade({"tag": F.when(F.col("lang").isin("en", "de"), F.col("lang")), "default": F.lit("none")})
+    return reports.rule_counts(table(spark, sf_dir, "documents"), {"subject": subject["rule"], "session": session["rule"]})
 
 
 @register("agg08_duplicate_entities", "SELECT source, lang, n_chars, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1")
 def agg08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source", "lang", "n_chars").agg(F.count("*").alias("n")).where("n > 1")
+    return reports.duplicates(table(spark, sf_dir, "documents"), ["source", "lang", "n_chars"])
 
 
 @register("agg09_file_bundles", "SELECT doc_id // 10 AS bundle, count(DISTINCT lang) AS n, min(CASE WHEN lang = 'en' THEN doc_id END) AS en FROM documents GROUP BY 1")
 def agg09(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("bundle"), "lang", "doc_id")
-    one = docs.groupBy("bundle", "lang").agg(F.min("doc_id").alias("doc_id"))
-    maps = one.groupBy("bundle").agg(F.map_from_entries(F.collect_list(F.struct("lang", "doc_id"))).alias("m"))
-    return maps.select("bundle", F.size("m").cast("long").alias("n"), F.try_element_at("m", F.lit("en")).alias("en"))
+    maps = reports.variants(docs, ["bundle"], "lang", "doc_id")
+    return maps.select("bundle", F.size("kinds").cast("long").alias("n"), F.try_element_at("kinds", F.lit("en")).alias("en"))
 
 
 @register("agg10_local_day", "SELECT user_id, CAST(ts - INTERVAL 5 HOUR AS DATE) AS day, min(ts) AS first, max(ts) AS last, count(*) AS n, arg_min(event_type, ts) AS kind FROM events GROUP BY 1, 2")
 def agg10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = F.to_date(F.col("ts") - F.expr("INTERVAL 5 HOURS"))
-    return table(spark, sf_dir, "events").groupBy("user_id", day.alias("day")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n"), F.min_by("event_type", "ts").alias("kind"))
+    return reports.local_days(table(spark, sf_dir, "events"), ["user_id"], "ts", -5, "event_type")
 
 
 @register("agg11_mean_of_most_common", "WITH m AS (SELECT event_type FROM events GROUP BY 1 ORDER BY count(*) DESC, event_type LIMIT 1) SELECT event_type, CAST(CAST(sum(CAST(abs(value) AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS DOUBLE) AS mean FROM events WHERE event_type IN (SELECT event_type FROM m) GROUP BY event_type")
 def agg11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(F.abs("value").cast("decimal(18,4)")).alias("total"))
-    return by.orderBy(F.desc("n"), "event_type").limit(1).select("event_type", (F.col("total").cast("double") / F.col("n")).alias("mean"))
+    return reports.mean_of_most_common(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 @register("agg12_block_sums", "SELECT event_type AS channel, epoch_us(ts) // 3600000000 AS block, CAST(sum(CAST(value AS DECIMAL(18,4))) AS DOUBLE) AS total, count(*) AS n FROM events GROUP BY 1, 2")
@@ -87,61 +85,58 @@ def agg12(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("agg13_max_error", f"WITH {SQL_VERSIONS} SELECT max(abs(b.n_samples - m.n_samples)) AS worst, count(*) FILTER (b.n_samples <> m.n_samples) AS n FROM base b JOIN mine m ON b.path = m.path")
 def agg13(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, mine, _ = lenses.versions(spark, sf_dir)
-    both = base.select("path", F.col("n_samples").alias("a")).join(mine.select("path", F.col("n_samples").alias("b")), "path")
-    return both.agg(F.max(F.abs(F.col("a") - F.col("b"))).alias("worst"), F.count_if(F.col("a") != F.col("b")).alias("n"))
+    return reports.greatest_error(base, mine, "path", "n_samples")
 
 
 @register("agg14_mismatch_counts", f"WITH {SQL_ITEMS} SELECT count(*) FILTER (quality IS DISTINCT FROM toxic) AS n_values, count(*) FILTER ((quality IS NULL) <> (toxic IS NULL)) AS n_masks FROM items")
 def agg14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q, t = F.col("`meta.quality`"), F.col("`meta.toxic`")
-    return lenses.items(spark, sf_dir).agg(F.count_if(~q.eqNullSafe(t)).alias("n_values"), F.count_if(q.isNull() != t.isNull()).alias("n_masks"))
+    return reports.mismatches(lenses.items(spark, sf_dir), F.col("`meta.quality`"), F.col("`meta.toxic`"))
 
 
 @register("agg15_dead_channels", "SELECT event_type, bool_and(value >= 10) AS all_high, bool_or(value >= 99) AS any_high FROM events GROUP BY 1")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.bool_and(F.col("value") >= 10).alias("all_high"), F.bool_or(F.col("value") >= 99).alias("any_high"))
+    return reports.flags(table(spark, sf_dir, "events"), ["event_type"], all_high=("all", F.col("value") >= 10), any_high=("any", F.col("value") >= 99))
 
 
 @register("agg16_codec_choice", "WITH s AS (SELECT o_orderstatus AS k, o_orderpriority AS mode, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS bytes FROM orders GROUP BY 1, 2) SELECT k, arg_min(mode, bytes) AS mode FROM s GROUP BY k")
 def agg16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sums = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("k"), F.col("o_orderpriority").alias("mode")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("bytes"))
-    return sums.groupBy("k").agg(F.min_by("mode", "bytes").alias("mode"))
+    probes = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("k"), F.col("o_orderpriority").alias("mode"), "o_totalprice")
+    return reports.smallest_total(probes, "k", "mode", "o_totalprice")
 
 
 @register("agg17_gc_accounting", "SELECT source, count(*) AS objects, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def agg17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("objects"), F.sum("n_chars").alias("bytes"))
+    return reports.account(table(spark, sf_dir, "documents"), "n_chars", ["source"])
 
 
 @register("agg18_tree_size", "SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes FROM documents WHERE lang = 'en'")
 def agg18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
+    return reports.account(table(spark, sf_dir, "documents").where("lang = 'en'"), "n_chars", count="files")
 
 
 @register("agg19_quartiles", "SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1")
 def agg19(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(*[F.percentile("value", p).alias(f"q{k}") for k, p in ((1, 0.25), (2, 0.5), (3, 0.75))])
+    return reports.quartiles(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
 @register("agg20_result_length", f"WITH {SQL_ITEMS} SELECT count(*) AS n FROM items WHERE sfreq > 150")
 def agg20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lenses.items(spark, sf_dir).where("sfreq > 150").agg(F.count("*").alias("n"))
+    return predicate.where(lenses.items(spark, sf_dir), "sfreq > 150").agg(F.count("*").alias("n"))
 
 
 @register("agg21_next_label", "SELECT coalesce(max(CAST(regexp_extract(source, '([0-9]+)$', 1) AS INTEGER)), 0) + 1 AS next FROM documents")
 def agg21(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").agg((F.coalesce(F.max(F.regexp_extract("source", r"(\d+)$", 1).cast("int")), F.lit(0)) + 1).alias("next"))
+    return reports.next_label(table(spark, sf_dir, "documents"), "source")
 
 
 @register("agg22_table_shape", "SELECT count(*) AS n_rows, 5 AS n_columns FROM documents")
 def agg22(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.agg(F.count("*").alias("n_rows")).withColumn("n_columns", F.lit(len(docs.columns)))
+    return reports.shape(table(spark, sf_dir, "documents"))
 
 
 @register("agg23_forms", "SELECT role AS form, count(*) AS n, count(DISTINCT conv_id) AS talks FROM conversations GROUP BY 1")
 def agg23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").groupBy(F.col("role").alias("form")).agg(F.count("*").alias("n"), F.countDistinct("conv_id").alias("talks"))
+    return reports.forms(table(spark, sf_dir, "conversations"), "role", "conv_id").withColumnRenamed("n_by", "talks")
 
 
 _DIFF = "SELECT coalesce(b.path, m.path) AS path, CASE WHEN b.path IS NULL THEN 'added' WHEN m.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM base b FULL OUTER JOIN mine m ON b.path = m.path WHERE b.path IS NULL OR m.path IS NULL OR b.n_samples IS DISTINCT FROM m.n_samples"
@@ -158,9 +153,9 @@ def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"))
 
 
-@register("set04_diff_summary", "SELECT 'src' || doc_id AS item, CASE WHEN doc_id % 2 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents WHERE doc_id < 100")
+@register("set04_diff_summary", "SELECT 'src' || doc_id AS item, CASE WHEN doc_id % 2 = 0 THEN 'added' ELSE 'changed' END AS change FROM documents")
 def diff_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id < 100").select(F.concat(F.lit("src"), "doc_id").alias("item"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("src"), "doc_id").alias("item"), "doc_id")
     nodes = docs.select("item", F.explode(F.array(F.lit("attrs"), F.lit("changed"), F.when(F.col("doc_id") % 2 == 0, "added").otherwise("attrs"))).alias("change"))
     return versions.summarized(nodes)
 
@@ -186,7 +181,7 @@ def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("set01_schema_union", "SELECT doc_id AS id, lang, CAST(NULL AS VARCHAR) AS url FROM documents UNION ALL SELECT page_id, NULL, url FROM pages")
 def schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return a.unionByName(table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"), allowMissingColumns=True)
+    return reports.united(a, table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "url"))
 
 
 @register("set05_publish", f"WITH {SQL_VERSIONS} SELECT path, n_samples FROM base WHERE sub NOT IN ('src1', 'src9') UNION ALL SELECT path, n_samples FROM mine WHERE sub = 'src1'")
@@ -205,9 +200,16 @@ def revert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("set10_time_travel", f"WITH {SQL_VERSIONS} SELECT path, n_samples FROM mine")
 def time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, mine, other = lenses.versions(spark, sf_dir)
-    history = base.withColumn("version", F.lit(1)).unionByName(mine.withColumn("version", F.lit(2))).unionByName(other.withColumn("version", F.lit(3)))
-    return history.where("version = 2").select("path", "n_samples")
+    from siltstone.operators.store import Repository
+    from siltstone.session import scratch
+
+    base, mine, _ = lenses.versions(spark, sf_dir)
+    repo = Repository(spark, scratch(spark, "repo"))
+    repo.add(mine)
+    then = repo.commit("mine")
+    repo.add(base, existing="replace")
+    repo.commit("base again")
+    return repo.read(then).select("path", "n_samples")
 
 
 #: a <- b <- c <- e (merge of d), b <- d, x alone
@@ -245,15 +247,13 @@ def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("set17_move_subtree", f"WITH {SQL_ITEMS} SELECT regexp_replace(path, '^src1/en(/|$)', 'src1/english\\1') AS path FROM items WHERE NOT starts_with(path, 'src2/')")
 def move(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = lenses.items(spark, sf_dir).select("path")
-    kept = items.where(~((F.col("path") == "src2") | F.startswith("path", F.lit("src2/"))))
-    return kept.withColumn("path", F.regexp_replace("path", r"^src1/en(/|$)", "src1/english$1"))
+    return versions.moved(versions.without(items, "src2"), "src1/en", "src1/english")
 
 
 @register("set18_incremental_index", f"WITH {SQL_VERSIONS} SELECT path, n_samples FROM mine")
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, mine, _ = lenses.versions(spark, sf_dir)
-    changes = versions.difference(base, mine)
-    return base.join(changes, "path", "left_anti").unionByName(mine.join(changes.where("change <> 'removed'"), "path", "left_semi")).select("path", "n_samples")
+    return versions.updated(base, mine, versions.difference(base, mine)).select("path", "n_samples")
 
 
 _CHUNKS = "numbered AS (SELECT user_id AS recording, event_type AS channel, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) - 1 AS i, value AS x FROM events)"
@@ -295,14 +295,13 @@ def block_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("sig08_raw_with_events", "SELECT e.event_id, count(a.event_id) AS n FROM events e LEFT JOIN events a ON a.user_id = e.user_id AND a.event_type = 'signup' WHERE e.event_type = 'error' GROUP BY e.event_id")
 def raw_with_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
-    marks = events.where("event_type = 'signup'").groupBy("user_id").agg(F.count("*").alias("n"))
-    return events.where("event_type = 'error'").join(marks, "user_id", "left").select("event_id", F.coalesce("n", F.lit(0)).alias("n"))
+    return signal.with_annotations(events.where("event_type = 'error'"), events.where("event_type = 'signup'"), ["user_id"]).select("event_id", F.col("n_annotations").alias("n"))
 
 
 @register("sig09_channel_names", "SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN 'ch' || label ELSE 'EEG ' || label END AS name FROM embeddings")
 def channel_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("ch"), "label"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.coalesce(own, F.concat(F.lit("EEG "), "label")).alias("name"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", signal.channel_name(own, F.lit(None).cast("string"), F.lit("EEG "), F.col("label")).alias("name"))
 
 
 @register("sig10_shape", f"WITH {_CHUNKS} SELECT recording, count(DISTINCT channel) AS n_channels, max(i) + 1 AS n_samples, (max(i) + 1) / 250.0::DOUBLE AS duration FROM numbered GROUP BY recording")
@@ -311,13 +310,10 @@ def shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("recording").agg(F.countDistinct("channel").alias("n_channels"), F.max("n").alias("n_samples"), (F.max("n") / 250.0).alias("duration"))
 
 
-@register("sig11_annotations", "SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE - min(epoch_us(ts) / 1000000.0::DOUBLE) OVER (PARTITION BY user_id) AS onset, event_type AS trial_type FROM events WHERE event_id < 2000")
+@register("sig11_annotations", "SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE - min(epoch_us(ts) / 1000000.0::DOUBLE) OVER (PARTITION BY user_id) AS onset, event_type AS trial_type FROM events")
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    t = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
-    rows = table(spark, sf_dir, "events").where("event_id < 2000")
-    return rows.select("user_id", (t - F.min(t).over(Window.partitionBy("user_id"))).alias("onset"), F.col("event_type").alias("trial_type"))
+    events = table(spark, sf_dir, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
+    return signal.onsets(events, ["user_id"], "t").select("user_id", "onset", F.col("event_type").alias("trial_type"))
 
 
 @register("sig13_chunk_copy", f"WITH {_CHUNKS} SELECT recording, channel, i, x FROM numbered WHERE i // 4 IN (0, 2)")
@@ -339,9 +335,7 @@ def sample_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("dtm03_relative_onset", "SELECT o_orderkey, o_totalprice - min(o_totalprice) OVER (PARTITION BY o_custkey) AS onset FROM orders")
 def onset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") - F.min("o_totalprice").over(Window.partitionBy("o_custkey"))).alias("onset"))
+    return signal.onsets(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice").select("o_orderkey", "onset")
 
 
 @register("dtm06_now", "SELECT true AS ok")

@@ -40,6 +40,34 @@ def fingerprint(content: Column, ends: int = 1 << 20) -> Column:
     return F.concat_ws("-", F.length(content), F.sha2(F.concat(head, tail), 256))
 
 
+def fingerprints(spark: SparkSession, files: DataFrame, root: str, ends: int = 1 << 20) -> DataFrame:
+    """(path, fingerprint) of files (path relative to root, length), as ``fingerprint`` makes it.
+
+    Only the two ends of a file are read, in tasks, through the file's own storage, so files may be of any
+    size. Bytes at an offset have no built-in reader, hence Arrow.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    base = root if "://" in root else f"file://{root}" if root.startswith("/") else f"file:///{root}"
+
+    def run(batches):
+        from pyarrow import fs
+
+        storage, folder = fs.FileSystem.from_uri(base.replace("s3a://", "s3://").rstrip("/"))
+        for batch in batches:
+            marks = []
+            for path, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with storage.open_input_file(f"{folder}/{path}") as file:
+                    head = file.read_at(min(ends, length), 0)
+                    tail = file.read_at(min(ends, length), max(0, length - ends))
+                marks.append(f"{length}-{hashlib.sha256(head + tail).hexdigest()}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=["path", "fingerprint"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, fingerprint string")
+
+
 def companions(files: DataFrame) -> DataFrame:
     """(path, companion): files that belong to an entry point of the same folder and stem."""
     pairs = [(a, b) for a, bs in COMPANIONS.items() for b in bs]
@@ -93,6 +121,84 @@ def phenotype(spark: SparkSession, root: str, subjects: DataFrame) -> DataFrame:
     return out.withColumnRenamed("participant_id", "sub").join(subjects.select("sub").distinct(), "sub", "left_semi").select("sub", "measure", "key", "value")
 
 
+def json_attributes(spark: SparkSession, path: str) -> dict:
+    """A JSON file's members, {} if there is no such file."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return {}
+    import json
+
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def samples(rows: DataFrame) -> DataFrame:
+    """(sample_id, sub, attributes map) of a samples table; rows without an id are left out, the last of an id stays."""
+    rest = [c for c in rows.columns if c not in ("sample_id", "participant_id")]
+    entries = F.filter(F.array(*[F.struct(F.lit(c).alias("key"), F.col(f"`{c}`").cast("string").alias("value")) for c in rest]), lambda e: e["value"].isNotNull())
+    named = rows.where("sample_id is not null").select("sample_id", F.col("participant_id").alias("sub"), F.map_from_entries(entries).alias("attributes"))
+    return named.groupBy("sample_id").agg(F.max(F.struct("sub", F.map_entries("attributes").alias("entries"))).alias("m")).select("sample_id", "m.sub", F.map_from_entries("m.entries").alias("attributes"))
+
+
+def derivatives(files: DataFrame) -> DataFrame:
+    """The files below derivatives/NAME, with that as their prefix and path and dir from there on."""
+    inside = files.where(F.startswith("path", F.lit("derivatives/")) & (F.size(F.split("path", "/")) > 2))
+    prefix = F.concat_ws("/", F.lit("derivatives"), F.split_part("path", F.lit("/"), F.lit(2)))
+    rest = F.regexp_replace("path", r"^derivatives/[^/]+/", "")
+    return inside.withColumn("prefix", prefix).withColumn("path", rest).withColumn("dir", F.when(F.instr("path", "/") > 0, F.regexp_replace("path", "/[^/]*$", "")).otherwise(""))
+
+
+def headerless(spark: SparkSession, path: str | list[str], columns: list[str]) -> DataFrame:
+    """A recorded table without a header (plain or gzip), its columns as the sidecar names them, as doubles."""
+    return spark.read.schema(", ".join(f"`{c}` double" for c in columns)).csv(path, sep="\t", nullValue="n/a")
+
+
+def unclaimed(files: DataFrame, claimed: DataFrame, policy: str = "reference", most: int = 64 << 20) -> DataFrame:
+    """(path, length, stored): what becomes of files that no reader takes: referred to by their path, or
+    embedded if they aren't larger than ``most`` bytes; nothing else is a policy."""
+    if policy not in ("reference", "embed"):
+        raise ValueError("the policy is reference or embed")
+    left = not_stored(files, claimed)
+    if policy == "reference":
+        return left.withColumn("stored", F.lit("reference"))
+    return left.withColumn("stored", F.when(F.col("length") <= most, "embedded").otherwise("reference"))
+
+
+def with_callback(df: DataFrame, function, schema: str) -> DataFrame:
+    """Rows that a caller's Python function (dict of a row -> dict, or None to leave it out) makes of rows.
+
+    Whatever the function does has no built-in form; rows go through Arrow in batches.
+    """
+    import pyarrow as pa
+
+    names = [part.split()[0] for part in schema.split(",")]
+
+    def run(batches):
+        for batch in batches:
+            made = [m for row in batch.to_pylist() if (m := function(row)) is not None]
+            yield pa.RecordBatch.from_pylist([{n: m.get(n) for n in names} for m in made], schema=kinds) if made else pa.RecordBatch.from_pylist([], schema=kinds)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    return df.mapInArrow(run, schema)
+
+
+def provenance(content: Column) -> Column:
+    """struct(size, sha256) of a file's bytes."""
+    return F.struct(F.length(content).cast("long").alias("size"), F.sha2(content, 256).alias("sha256"))
+
+
+def export_tables(df: DataFrame, root: str, by: str) -> None:
+    """Write one folder of tab-separated tables for each value of a column; missing values as n/a."""
+    df.write.partitionBy(by).csv(root, sep="\t", header=True, nullValue="n/a")
+
+
+def exported(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Read back what export_tables wrote."""
+    return spark.read.schema(schema).csv(root, sep="\t", header=True, nullValue="n/a")
+
+
 def scans(spark: SparkSession, root: str) -> DataFrame:
     """All scans tables with their folder."""
     return tsv(spark, f"{root}/sub-*/*/*_scans.tsv").withColumn("dir", F.regexp_extract(F.input_file_name(), r"/(sub-[^/]+/[^/]+)/[^/]*$", 1))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import catalog, windows
+from siltstone.operators import catalog, reports, windows
 from siltstone.sources import files
 
 
@@ -17,9 +17,10 @@ def inferred(spark: SparkSession, root: str, answers: dict[str, str] | None = No
     first underscore. Copies of the same content keep the one with most files beside it.
     """
     found = files.listing(spark, root)
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    marks = content.select(F.substring_index("path", "/", -1).alias("name"), "length", files.fingerprint(F.col("content")).alias("fingerprint"))
     signals = found.where(F.col("ext").isin(*files.SIGNALS))
+    # Only files of one length can be copies; of the others nothing is read.
+    alike = signals.groupBy("length").agg(F.count("*").alias("_n")).where("_n > 1").select("length")
+    marks = files.fingerprints(spark, signals.join(alike, "length", "left_semi"), root)
     path, stem = F.col("path"), F.expr("substr(name, 1, length(name) - length(ext))")
     folder = F.nullif(F.substring_index("path", "/", 1), F.col("name"))
     subject = catalog.cascade(
@@ -39,12 +40,11 @@ def inferred(spark: SparkSession, root: str, answers: dict[str, str] | None = No
     )
     beside = found.groupBy("dir").agg(F.count("*").alias("beside"))
     rows = signals.select("path", "dir", "name", "ext", "length", stem.alias("stem"), subject["value"].alias("sub"), subject["rule"].alias("sub_rule"), F.coalesce(text.tagged(path, "ses"), F.lit("none")).alias("ses"), datatype["value"].alias("datatype"), datatype["rule"].alias("datatype_rule"))
-    rows = rows.join(marks.dropDuplicates(["name", "length"]), ["name", "length"], "left").join(beside, "dir", "left")
+    rows = rows.join(marks, "path", "left").withColumn("fingerprint", F.coalesce("fingerprint", "path")).join(beside, "dir", "left")
     rows = windows.best_copies(rows, "fingerprint", [F.desc("beside")], "path")
     return windows.numbered_runs(rows, ["sub", "ses", "datatype"], {"name": text.trailing_digits(F.col("stem"))}, ["path"]).drop("stem", "beside")
 
 
 def rules_report(rows: DataFrame) -> DataFrame:
     """(what, rule, n): how often each rule decided."""
-    parts = [rows.groupBy(F.lit(c).alias("what"), F.col(f"{c}_rule").alias("rule")).agg(F.count("*").alias("n")) for c in ("sub", "datatype", "run")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reports.rule_counts(rows, {c: F.col(f"{c}_rule") for c in ("sub", "datatype", "run")})

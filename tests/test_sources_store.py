@@ -170,3 +170,56 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main([store, "query", "n ==="]) == 1
     assert "error:" in capsys.readouterr().err
     assert cli.main([store, "log", "-n", "1"]) == 0 and "second" in capsys.readouterr().out
+
+
+def test_unlike_files_of_one_name_and_length_are_no_copies(spark, tmp_path):
+    from siltstone.sources import smart
+
+    for folder, byte in (("s1", b"A"), ("s2", b"B"), ("s3", b"A")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "rec.edf").write_bytes(byte * 2000)
+    (tmp_path / "s3" / "other.edf").write_bytes(b"A" * 10)
+    rows = {r.path: r for r in smart.inferred(spark, str(tmp_path)).collect()}
+    assert rows["s2/rec.edf"].same_as is None and rows["s3/other.edf"].same_as is None
+    assert (rows["s1/rec.edf"].same_as, rows["s3/rec.edf"].same_as) == ("s3/rec.edf", None)  # more stands beside it
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path):
+    root = str(tmp_path / "store")
+    one, other = Repository(spark, root), Repository(spark, root)
+    one.add(items(spark, ("s1/a", 1)))
+    one.commit("base")
+    other.add(items(spark, ("s2/a", 2)))
+    number, head = other._ref("branch", "main")
+    one.add(items(spark, ("s3/a", 3)))
+    one.commit("first")
+    with pytest.raises(StoreError):
+        other._publish({"s2": "x"}, "late", [head], number)
+    assert content(one.read()) == {"s1/a": 1, "s3/a": 3} and other.status()["staged"] == ["s2"]
+    other.commit("again")
+    assert content(other.read()) == {"s1/a": 1, "s2/a": 2, "s3/a": 3}
+    (tmp_path / "store" / "data" / "inflight").mkdir()
+    assert one.gc(time.time() - 60) == [] and one.gc(time.time() + 60) == ["inflight"]
+
+
+def test_many_subjects_are_one_plan(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "store"))
+    rows = spark.range(3000).selectExpr("concat('s', id) AS sub", "concat('s', id, '/a') AS path", "id AS n")
+    repo.add(rows)
+    repo.commit("many")
+    assert len(repo.status()["staged"]) == 0 and repo.read().count() == 3000
+    assert "isin" not in repo.read()._jdf.queryExecution().toString().lower() and "INSET" not in repo.read()._jdf.queryExecution().toString()
+
+
+def test_items_can_be_moved_and_removed(spark, tmp_path):
+    repo = Repository(spark, str(tmp_path / "store"))
+    repo.add(items(spark, ("s1/x/a", 1), ("s1/y", 2), ("s2/x", 3)))
+    repo.commit("base")
+    assert repo.move("s1/x", "s2/z") == 1 and repo.remove_items("s2/x") == 1
+    with pytest.raises(StoreError):
+        repo.move("s1/y", "s2/z")
+    with pytest.raises(StoreError):
+        repo.remove_items("s9")
+    repo.commit("moved")
+    assert content(repo.read()) == {"s1/y": 2, "s2/z/a": 1}
+    assert repo.remove_items("s1") == 1 and repo.commit("gone") and content(repo.read()) == {"s2/z/a": 1}
