@@ -2,7 +2,8 @@
 data, mix to target weights, and tokenise.
 
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
-written as Parquet and read again as the next one's docs.
+written as Parquet and read again as the next one's docs. All accept empty tables, null cells, repeated rows and
+columns beyond COLUMNS, which they drop; texts count whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a language (null, empty or letterless texts); lang becomes the predicted one.
 
-    The model learns from the labelled documents outside the held-out fold.
+    The model learns from the labelled documents outside the held-out fold; without any, no document has a
+    language. Null lang, source and doc_id are no reason to reject; repeated rows share their fate.
     """
     model = langid.learn(docs.where(fold("doc_id", 4) != 2))
     found = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
@@ -30,23 +32,29 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays: the one of least doc_id."""
+    """One document of each class of near duplicates stays: the one of least doc_id, the first of its rows.
+
+    A null doc_id comes last. Null, empty and blank texts have no duplicates and stay.
+    """
     return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with surrogates; n_chars follows the text."""
+    """Texts with surrogates; n_chars follows the text. A null text stays null, with null n_chars; no row goes."""
     found = pii.pseudonymized(docs.select(*COLUMNS), DEMONSTRATION_KEY)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with the raked probabilities."""
+    """Documents drawn with the raked probabilities; copies of a doc_id share their fate.
+
+    Documents without a word are never drawn; a missing source or language is a value of its own.
+    """
     return mixed_documents(docs.select(*COLUMNS)).where("keep").select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with digests of the ids and of what they decode to."""
+    """Token ids of every document, with digests of the ids and of what they decode to; null is the empty text."""
     ranks, pattern = tokenizer_file()
     return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, with_ids=True)
 
