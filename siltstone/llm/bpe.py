@@ -30,6 +30,10 @@ SIDE_BY_SIDE = 64
 PAIR_BITS = 20
 
 
+# Fixed value: the public pattern under which a lone space always begins a match and letters are one.
+SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Token bytes -> rank, from the lines of a rank file."""
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
@@ -67,7 +71,10 @@ class PrefixCoder:
         for token, rank in ranks.items():
             self.inside.add_word(token.decode("latin-1"), (len(token), rank))
         self.inside.make_automaton()
-        self.find = regex.compile(pattern).findall
+        found = regex.compile(pattern)
+        # Whole matches, whatever groups a pattern has.
+        self.find = found.findall if not found.groups else lambda text: [m[0] for m in found.finditer(text)]
+        self.spaced = pattern == SPACED
         self._halves: dict[int, tuple[int, int]] = {}
         self._fits: dict[int, bool] = {}
         self._cache: dict[str, tuple[str, int, bytes]] = {}
@@ -175,10 +182,13 @@ class PrefixCoder:
 
         A space without white space beside it always begins a match, so a text without double or trailing
         spaces is cut before every space; any other text is cut into its matches. A match taken alone
-        matches whole again, so both kinds of chunk split the same way alone as in their text.
+        matches whole again, so both kinds of chunk split the same way alone as in their text. That holds
+        for SPACED; under another pattern the chunks are the matches, and each is one piece.
         """
         if not text:
             return []
+        if not self.spaced:
+            return self.find(text)
         if "  " in text or text[-1] == " ":
             return self.find(text)
         head, *rest = text.split(" ")
@@ -193,7 +203,7 @@ class PrefixCoder:
         pieces, counts = [], []
         for chunk in new:
             # isalpha is \\p{L}+, so such a chunk is one match
-            found = [chunk] if chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else self.find(chunk)
+            found = [chunk] if not self.spaced or chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else self.find(chunk)
             pieces += found
             counts.append(len(found))
         encoded = self.encode_many([p.encode() for p in pieces])

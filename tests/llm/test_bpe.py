@@ -68,3 +68,15 @@ def test_operator_on_odd_rows(spark, pair):
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
     assert bpe.encode_decode(df.limit(0), ranks, pattern).count() == 0
+
+
+def test_another_pattern_is_followed(pair):
+    ranks, spaced = tokenizer_file()
+    assert spaced == bpe.SPACED
+    pattern = r"(\p{L})+|\p{N}{1,2}| +|[^\p{L}\p{N} ]+"
+    coder = bpe.PrefixCoder(bpe.read_ranks(ranks), pattern)
+    other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(ranks), special_tokens={})
+    for text in ("the  end of 12345 things", "a b", " lead", "trail ", "x\n\ny!? z", "été 99"):
+        chunks = coder.chunks(text)
+        known = coder.remember(set(chunks))
+        assert ",".join(known[c][0] for c in chunks) == ",".join(map(str, other.encode_ordinary(text)))
