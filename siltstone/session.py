@@ -30,6 +30,8 @@ def session(app: str = "siltstone", **conf: str) -> SparkSession:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path below the shared checkpoint folder; below a local one only where none is set."""
+    """A new path below the shared checkpoint folder, which only a local master may leave unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(root or tempfile.gettempdir() + '/siltstone').rstrip('/')}/{what}-{uuid.uuid4().hex}"
