@@ -115,8 +115,16 @@ def glob_answer(path: Column, answers: dict[str, str]) -> Column:
     return reduce(lambda old, kv: F.when(path.rlike(glob_regex(kv[0])), kv[1]).otherwise(old), answers.items(), F.lit(None).cast("string"))
 
 
+SEGMENT = r"[A-Za-z0-9][A-Za-z0-9._+-]*"
+
+
 def valid_segment(text: Column) -> Column:
-    return F.coalesce(text.rlike(r"^[A-Za-z0-9][A-Za-z0-9._+-]*$"), F.lit(False))
+    return F.coalesce(text.rlike(f"^{SEGMENT}$"), F.lit(False))
+
+
+def is_segment(text: str) -> bool:
+    """valid_segment of one given name."""
+    return re.fullmatch(SEGMENT, text) is not None
 
 
 def valid_entity(key: Column, value: Column) -> Column:

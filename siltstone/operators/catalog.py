@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +46,27 @@ def output(found: DataFrame, columns: list[str], form: str = "json") -> DataFram
     raise ValueError("the form is json, csv, paths or count")
 
 
+def streamed(items: DataFrame, progress: Callable[[int], None] | None = None) -> Iterator[Row]:
+    """Rows one by one in order, the next partition fetched while this one is used.
+
+    At most two partitions are on the driver; a failure is raised where its rows would have come, and a
+    caller who stops early ends the job. ``progress`` is told the number of rows so far.
+    """
+    for n, row in enumerate(items.toLocalIterator(prefetchPartitions=True), 1):
+        if progress is not None:
+            progress(n)
+        yield row
+
+
+def children(items: DataFrame, path: str) -> DataFrame:
+    """(name, is_item, n_items): the next level below ``path`` of the tree that paths make, by name."""
+    depth = len([p for p in path.split("/") if p])
+    inside = items.where(F.startswith("path", F.lit(path.strip("/") + "/"))) if depth else items
+    parts = F.split("path", "/")
+    rows = inside.select(F.get(parts, F.lit(depth)).alias("name"), (F.size(parts) == depth + 1).alias("here"))
+    return rows.groupBy("name").agg(F.bool_or("here").alias("is_item"), F.count("*").alias("n_items"))
+
+
 def under(items: DataFrame, path: str) -> DataFrame:
     """The item at ``path`` and all below it, in path order."""
     path = path.strip("/")

@@ -99,3 +99,77 @@ def changed_chunks(new: DataFrame, old: DataFrame, keys: list[str], samples: str
     """The chunks of ``new`` that ``old`` lacks or has otherwise: all that a write has to touch."""
     before = old.select(*keys, F.col(samples).alias("_before"))
     return new.join(before, keys, "left").where(~F.col(samples).eqNullSafe(F.col("_before"))).drop("_before")
+
+
+# Compressors that a probe tries, by name and level.
+CODECS = (("zstd", 1), ("zstd", 9), ("zlib", 6))
+
+
+def codec_sizes(chunks: DataFrame, group: list[str], samples: str = "samples", codecs: tuple[tuple[str, int], ...] = CODECS) -> DataFrame:
+    """(group, codec, size): the bytes that each compressor makes of each chunk, its samples as float32.
+
+    Compressors have no built-in form that tells their size, so chunks go through Arrow.
+    """
+    import zlib
+
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    check_codecs(codecs)
+    kinds = chunks.select(*group).schema
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields), "codec string", "size long"])
+
+    def run(batches):
+        make = {(n, k): zstandard.ZstdCompressor(level=k).compress if n == "zstd" else (lambda data, k=k: zlib.compress(data, k)) for n, k in codecs}
+        for batch in batches:
+            data = [np.asarray(s if s is not None else [], np.float32).tobytes() for s in batch.column(len(group)).to_pylist()]
+            for (name, level), compress in make.items():
+                sizes = pa.array([len(compress(d)) for d in data], pa.int64())
+                label = pa.array([f"{name}({level})"] * len(data), pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(group)], label, sizes], names=[*group, "codec", "size"])
+
+    return chunks.select(*group, samples).mapInArrow(run, schema)
+
+
+def codec_plan(items: DataFrame, sizes: DataFrame, keys: list[str], default: str, level: int | None = None) -> DataFrame:
+    """``items`` with the codec that took least for their keys, and how many keys decided.
+
+    ``sizes`` has the keys, codec and size. An item without sizes for all of its first ``level`` keys goes by
+    one key fewer, and so on; with none left, or at level 0, it has the default.
+    """
+    from siltstone.operators import reports
+
+    level = len(keys) if level is None else level
+    if not 0 <= level <= len(keys):
+        raise ValueError(f"the level is 0 to {len(keys)}")
+    out, found = items, []
+    for n in range(level, 0, -1):
+        group = F.struct(*keys[:n])
+        best = reports.smallest_total(sizes.withColumn("_key", group), "_key", "codec", "size").select(*[F.col(f"_key.{k}").alias(k) for k in keys[:n]], F.struct("codec", F.lit(n).alias("decided_by")).alias(f"_c{n}"))
+        out = out.join(best, keys[:n], "left")
+        found.append(F.col(f"_c{n}"))
+    choice = F.coalesce(*found, F.struct(F.lit(default).alias("codec"), F.lit(0).alias("decided_by")))
+    return out.select(*items.columns, choice.alias("_c")).select(*items.columns, "_c.codec", "_c.decided_by")
+
+
+def check_codecs(codecs: tuple[tuple[str, int], ...]) -> None:
+    """Refuse compressors and levels that there aren't."""
+    for name, level in codecs:
+        if name not in ("zstd", "zlib"):
+            raise ValueError(f"no compressor {name!r}")
+        if not 1 <= level <= {"zstd": 22, "zlib": 9}[name]:
+            raise ValueError(f"{name} has no level {level}")
+
+
+def check_layout(shape: tuple[int, ...], chunk: tuple[int, ...], item_bytes: int) -> None:
+    """Refuse chunks that aren't of the array's dimensions, aren't positive, or exceed 2 GiB, Arrow's limit for a value."""
+    if len(shape) != len(chunk):
+        raise ValueError(f"chunks of {len(chunk)} dimensions for an array of {len(shape)}")
+    if any(c < 1 for c in chunk):
+        raise ValueError("chunks have at least one sample a side")
+    size = item_bytes
+    for c in chunk:
+        size *= c
+    if size >= 1 << 31:
+        raise ValueError(f"a chunk of {size} bytes is too large")

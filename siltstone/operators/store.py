@@ -16,7 +16,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.operators import versions
+from siltstone.functions import text
+from siltstone.operators import verify, versions
+
+#: Column types of values that callers give.
+_KINDS = {str: "string", int: "long", float: "double", bool: "boolean", bytes: "binary"}
 
 
 class StoreError(RuntimeError):
@@ -47,12 +51,16 @@ class Repository:
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), where
 
-    def _write(self, name: str, value: dict, overwrite: bool = True) -> None:
-        fs, path = self._fs(f"{self.root}/{name}.json")
+    def put(self, name: str, content: bytes, overwrite: bool = True) -> None:
+        """Write one file below the root."""
+        fs, path = self._fs(f"{self.root}/{name}")
         out = fs.create(path, overwrite)
-        out.write(bytearray(json.dumps(value).encode()))
+        out.write(bytearray(content))
         out.close()
 
+    def _write(self, name: str, value: dict, overwrite: bool = True) -> None:
+        self.put(f"{name}.json", json.dumps(value).encode(), overwrite)
+
     def _read(self, name: str) -> dict | None:
         fs, path = self._fs(f"{self.root}/{name}.json")
         if not fs.exists(path):
@@ -201,6 +209,85 @@ class Repository:
             self._stage(frame, still)
         return count
 
+    def add_items(self, sub: str, items: list[dict], existing: str = "error", schema: str | None = None) -> None:
+        """Stage single items of a subject, given as dicts with a path below it and what else is known."""
+        if not text.is_segment(sub):
+            raise StoreError(f"{sub!r} isn't a valid subject")
+        rows = [{"sub": sub} | item | {"path": "/".join([sub, item["path"]]) if item.get("path") else sub} for item in items]
+        names = list(dict.fromkeys(n for row in rows for n in row))
+        kinds = schema or ", ".join(f"`{n}` {_KINDS[type(next((r[n] for r in rows if r.get(n) is not None), ''))]}" for n in names)
+        self.add(self.spark.createDataFrame([tuple(row.get(n) for n in names) for row in rows], kinds), existing)
+
+    def create_subject(self, sub: str, **attributes) -> None:
+        """Stage a new subject: an item of kind attrs at its own path."""
+        self.add_items(sub, [{"path": "", "kind": "attrs"} | attributes])
+
+    def add_derivative(self, pipeline: str, items: DataFrame, version: str = "", existing: str = "error") -> None:
+        """Stage what a pipeline made of items: their paths below derivatives/PIPELINE of the subject, with
+        the pipeline and the version that was read as provenance."""
+        if not text.is_segment(pipeline):
+            raise StoreError(f"{pipeline!r} isn't a valid name")
+        rest = F.expr("substr(path, length(sub) + 2)")
+        made = F.struct(F.lit(pipeline).alias("pipeline"), F.lit(version).alias("pipeline_version"), F.lit(self.head()).alias("source_version"), F.col("path").alias("source_path"))
+        self.add(items.withColumn("generated_by", made).withColumn("path", F.concat_ws("/", "sub", F.lit("derivatives"), F.lit(pipeline), rest)), existing)
+
+    def keep(self, user: str) -> None:
+        """Write what is staged, and the branch, so that another session of the user goes on with it."""
+        name = f"staging/{user}"
+        kept = []
+        for n, frame in enumerate(self._frames):
+            subs = {s for s, k in self.staged.items() if k == n}
+            if subs:
+                part = f"{name}-{uuid.uuid4().hex}"
+                _of(frame, subs, self._owned[n]).write.parquet(f"{self.root}/{part}")
+                kept.append([part, sorted(subs)])
+        before = self._read(name) or {"frames": []}
+        self._write(name, {"branch": self.branch, "frames": kept, "removed": sorted(self.removed)})
+        for part, _ in before["frames"]:
+            fs, path = self._fs(f"{self.root}/{part}")
+            fs.delete(path, True)
+
+    def resume(self, user: str) -> None:
+        """Take up what ``keep`` wrote."""
+        state = self._read(f"staging/{user}")
+        if state is None:
+            return
+        self.branch, self.removed = state["branch"], set(state["removed"])
+        self.staged, self._frames, self._owned = {}, [], []
+        for part, subs in state["frames"]:
+            self._stage(self.spark.read.parquet(f"{self.root}/{part}"), set(subs))
+
+    def check(self) -> DataFrame:
+        """Issues of the branch's version: pins without a snapshot, subjects that their snapshot lacks, and
+        pinned subjects that the items don't hold. Snapshots are read for their subjects only."""
+        at = self.head()
+        pins = self.entry(at)["pins"] if at else {}
+        have = set(self._names("data"))
+        manifest = self.spark.createDataFrame(sorted(pins.items()), "sub string, digest string")
+        out = [verify.issues(manifest.where(~F.col("digest").isin(sorted(have))), F.lit(True), "no_snapshot", F.col("digest"), "sub")]
+        index = self.spark.createDataFrame([], "sub string, digest string")
+        for pin in sorted(set(pins.values()) & have):
+            index = index.unionByName(self.spark.read.parquet(f"{self.root}/data/{pin}").select("sub").distinct().withColumn("digest", F.lit(pin)))
+        out.append(verify.store(manifest.where(F.col("digest").isin(sorted(have))), index.join(manifest, ["sub", "digest"], "left_semi")))
+        return verify.together(*out)
+
+    def migrate(self, source: DataFrame, dry_run: bool = False) -> int:
+        """Bring items without versions (sub, path and any others) in as the first version; how many they are.
+
+        Nothing is written in a dry run; a store that has versions, a null subject or path and a repeated
+        path are errors.
+        """
+        if self.head():
+            raise StoreError("the store has versions")
+        bad = source.where("sub IS NULL OR path IS NULL").unionByName(source.join(source.groupBy("path").count().where("count > 1"), "path", "left_semi")).limit(1).collect()
+        if bad:
+            raise StoreError(f"no subject, or a path that isn't one item's: {bad[0]['path']}")
+        count = source.count()
+        if not dry_run:
+            self.add(source)
+            self.commit("Migrate")
+        return count
+
     def status(self) -> dict[str, list[str]]:
         return {"staged": sorted(self.staged), "removed": sorted(self.removed)}
 
@@ -243,7 +330,21 @@ class Repository:
             raise StoreError(f"branch {name} exists")
         self._point("branch", name, self.resolve(version), -1)
 
+    def init(self) -> None:
+        """Make an empty store; one that is there already is an error."""
+        fs, path = self._fs(f"{self.root}/log")
+        if fs.exists(path):
+            raise StoreError(f"{self.root} is a store")
+        for folder in ("log", "refs", "data"):
+            fs, path = self._fs(f"{self.root}/{folder}")
+            fs.mkdirs(path)
+
+    def branches(self) -> list[str]:
+        return [n.removeprefix("branch-") for n in self._names("refs") if n.startswith("branch-")]
+
     def switch(self, name: str) -> None:
+        if self.staged or self.removed:
+            raise StoreError("something is staged")
         if not self._ref("branch", name)[1]:
             raise StoreError(f"no branch {name}")
         self.branch = name

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text
-from siltstone.operators import catalog, reports, verify
+from siltstone.operators import catalog, reports, signal, verify
 from siltstone.operators import windows as ordering
 from siltstone.operators.store import Repository
 from siltstone.plans import lenses
 from siltstone.plans.catalogue import register
 from siltstone.plans.lenses import SQL_ITEMS, table
 from siltstone.session import scratch
-from siltstone.sources import files
+from siltstone.sources import bids, decode, files
 from siltstone.streaming import watch
 
 
@@ -227,3 +227,85 @@ def folder_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("sub-"), "source", F.lit("/"), name).alias("path"), name.alias("name"), F.when(F.col("doc_id") % 40 == 0, 0).otherwise(F.col("n_chars")).alias("length"))
     people = table(spark, sf_dir, "nation").where("n_nationkey > 3").select(F.concat(F.lit("sub-src"), "n_nationkey").alias("sub"))
     return verify.folder(rows, people, {"Name": "test"}).select("code", "location")
+
+
+@register(
+    "src02_scan",
+    "SELECT 'sub-' || n_name AS sub, 'recording' AS kind, 'sub-' || n_name || '/eeg/sub-' || n_name || '_eeg' AS path, n_regionkey + 1 AS n_bytes, CASE WHEN n_regionkey = 1 THEN '9' ELSE '1' END AS gain FROM (SELECT replace(n_name, '_', '') AS n_name, n_regionkey FROM nation) "
+    "UNION ALL SELECT 'sub-' || replace(n_name, '_', ''), 'attrs', 'sub-' || replace(n_name, '_', ''), NULL, NULL FROM nation "
+    "UNION ALL SELECT '', 'attrs', 'README', NULL, NULL UNION ALL SELECT '', 'file', 'spare.bin', 1, NULL",
+)
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch(spark, "bids")
+    repo = Repository(spark, root)  # for its way to put files on any storage
+    nations = [(r["n_name"].replace("_", ""), r["n_regionkey"]) for r in table(spark, sf_dir, "nation").select("n_name", "n_regionkey").toLocalIterator()]
+    given = {"README": "hello", "spare.bin": "x", "eeg.json": '{"Gain": 1}', "participants.tsv": "participant_id\n" + "".join(f"sub-{n}\n" for n, _ in nations)}
+    for name, region in nations:
+        given[f"sub-{name}/eeg/sub-{name}_eeg.edf"] = "x" * (region + 1)
+        if region == 1:
+            given[f"sub-{name}/eeg/sub-{name}_eeg.json"] = '{"Gain": 9}'
+    for path, content in given.items():
+        repo.put(path, content.encode())
+    return bids.scan(spark, root).select("sub", "kind", "path", "n_bytes", F.get_json_object("meta", "$.Gain").alias("gain"))
+
+
+@register(
+    "src26_src32_decoded",
+    "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'array' WHEN 1 THEN 'media' WHEN 2 THEN 'reference' ELSE 'failed' END AS kind, CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id + n_chars AS DOUBLE) END AS total, CASE WHEN doc_id % 4 = 1 THEN strlen(text) END AS n_bytes, doc_id % 4 = 3 AS failed FROM documents",
+)
+def decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, kind = table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    end = F.when(kind == 0, ".bval").when(kind == 1, ".png").when(kind == 2, ".xyz").otherwise(".nii")
+    content = F.when(kind == 0, F.concat_ws(" ", "doc_id", "n_chars")).when(kind == 3, "no volume").otherwise(F.col("text"))
+    rows = decode.decoded(docs.select(F.concat(F.col("doc_id").cast("string"), end).alias("path"), content.cast("binary").alias("content")))
+    total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "kind", total.alias("total"), F.length("content").cast("long").alias("n_bytes"), F.col("error").isNotNull().alias("failed"))
+
+
+@register("snk11_derivative", f"WITH {SQL_ITEMS} SELECT path, CAST(NULL AS VARCHAR) AS source_path FROM items WHERE sub = 'src1' UNION ALL SELECT 'src1/derivatives/clean/' || substr(path, 6), path FROM items WHERE sub = 'src1' AND ses = 'en'")
+def derivative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = Repository(spark, scratch(spark, "repo"))
+    repo.add(lenses.items(spark, sf_dir).where("sub = 'src1'").select("sub", "path", "ses"))
+    repo.commit("raw")
+    repo.add_derivative("clean", repo.read().where("ses = 'en'"), "1")
+    repo.commit("cleaned")
+    return repo.read().select("path", F.col("generated_by.source_path").alias("source_path"))
+
+
+@register("set19_migrate", f"WITH {SQL_ITEMS} SELECT sub, count(*) AS n, 1 AS versions FROM items GROUP BY sub")
+def migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = Repository(spark, scratch(spark, "repo"))
+    repo.migrate(lenses.items(spark, sf_dir).select("sub", "path", "n_samples"))
+    return repo.read().groupBy("sub").agg(F.count("*").alias("n")).withColumn("versions", F.lit(len(repo.log())))
+
+
+@register("ver07_store_whole", "SELECT 'no_snapshot' AS code, n_name AS location FROM nation WHERE false")
+def store_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = Repository(spark, scratch(spark, "repo"))
+    nation = table(spark, sf_dir, "nation")
+    repo.add(nation.select(F.col("n_name").alias("sub"), F.col("n_name").alias("path")))
+    repo.commit("nations")
+    return repo.check().select("code", "location")
+
+
+@register(
+    "sig15_codec_plan",
+    "WITH s AS (SELECT l_returnflag AS a, l_linestatus AS b, 'c' || (l_suppkey % 3) AS codec, sum(l_quantity) AS n FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1, 2, 3), "
+    "two AS (SELECT a, b, arg_min(codec, (n, codec)) AS codec FROM s GROUP BY 1, 2), one AS (SELECT a, arg_min(codec, (n, codec)) AS codec FROM (SELECT a, codec, sum(n) AS n FROM s GROUP BY 1, 2) GROUP BY 1), "
+    "i AS (SELECT DISTINCT l_returnflag AS a, l_linestatus AS b FROM lineitem UNION ALL SELECT 'Z', 'F') "
+    "SELECT i.a AS a, i.b AS b, coalesce(two.codec, one.codec, 'none') AS codec, CAST(CASE WHEN two.codec IS NOT NULL THEN 2 WHEN one.codec IS NOT NULL THEN 1 ELSE 0 END AS INTEGER) AS decided_by FROM i LEFT JOIN two ON i.a = two.a AND i.b = two.b LEFT JOIN one ON i.a = one.a",
+)
+def codec_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("a"), F.col("l_linestatus").alias("b"), F.concat(F.lit("c"), F.col("l_suppkey") % 3).alias("codec"), F.col("l_quantity").alias("size"))
+    items = lines.select("a", "b").distinct().unionByName(spark.createDataFrame([("Z", "F")], "a string, b string"))
+    return signal.codec_plan(items, lines.where("b = 'F'"), ["a", "b"], "none")
+
+
+@register("sig15_codec_sizes")
+def codec_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signal.codec_sizes(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
+
+
+@register("ver03_tree_level", f"WITH {SQL_ITEMS} SELECT split_part(path, '/', 2) AS name, false AS is_item, count(*) AS n_items FROM items WHERE sub = 'src1' GROUP BY 1")
+def tree_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.children(lenses.items(spark, sf_dir), "src1")

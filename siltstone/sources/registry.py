@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 Reader = Callable[..., DataFrame]
@@ -52,6 +53,11 @@ def register_format(extension: str, decoder: Callable) -> None:
     _DECODERS[extension.lower()] = decoder
 
 
+def decoders() -> list[tuple[str, Callable]]:
+    """The registered endings and their decoders, in turn."""
+    return list(_DECODERS.items())
+
+
 def decoder_for(path: str) -> Callable | None:
     """The first registered ending that the path has."""
     return next((d for e, d in _DECODERS.items() if path.lower().endswith(e)), None)
@@ -60,12 +66,24 @@ def decoder_for(path: str) -> Callable | None:
 SCHEMES = {"file": "file", "local": "file", "memory": "memory", "s3": "s3a", "s3a": "s3a", "r2": "s3a", "gs": "gs", "gcs": "gs", "az": "abfs", "abfs": "abfs", "azure": "abfs"}
 
 
+_STORAGES: dict[str, Callable[[str], str]] = {}
+
+
+def register_storage(scheme: str, factory: Callable[[str], str]) -> None:
+    """A scheme of a caller's own: ``factory`` makes a Hadoop URI of what follows scheme://."""
+    if scheme in SCHEMES or not re.fullmatch(r"[a-z][a-z0-9+.-]*", scheme):
+        raise ValueError(f"{scheme!r} can't be registered")
+    _STORAGES[scheme] = factory
+
+
 def storage_uri(target: str, *parts: str) -> str:
     """A Hadoop URI for a target and a path below it; credentials in it are refused."""
     match = re.match(r"^([a-z][a-z0-9+.-]*)://(.*)$", target)
     if match is None:
         return "/".join([os.path.abspath(target).rstrip("/"), *parts])
     scheme, rest = match.groups()
+    if scheme in _STORAGES:
+        return "/".join([_STORAGES[scheme](rest).rstrip("/"), *parts])
     if scheme not in SCHEMES:
         raise ValueError(f"unknown storage {scheme!r}")
     if "@" in rest.partition("/")[0] and SCHEMES[scheme] != "abfs" or re.search(r"[?&](key|secret|token|password)=", rest, re.I):
@@ -109,10 +127,33 @@ class SubjectFolders(DataSource):
         return _FolderReader(self.options["path"])
 
 
-def _bids(spark: SparkSession, source: str) -> DataFrame:
+def inspect(spark: SparkSession, source: str, name: str | None = None) -> DataFrame:
+    """Issues of any source (code, severity, message, location), by the reader that would read it."""
+    from siltstone.operators import verify
     from siltstone.sources import files
 
-    return files.bundles(files.listing(spark, source))
+    reader = reader_for(source, name)
+    if reader is _manifest:
+        listed = files.listing(spark, source.rstrip("/").rpartition("/")[0] or ".")
+        return verify.manifest(files.manifest(spark, source), listed)
+    if reader is _bids:
+        found = files.listing(spark, source)
+        people = found.where("path = 'participants.tsv'").isEmpty()
+        subs = spark.createDataFrame([], "sub string") if people else files.participants(spark, source).select("sub")
+        out = verify.folder(found, subs, files.json_attributes(spark, f"{source.rstrip('/')}/dataset_description.json"))
+        bad = files.bundles(found.where(F.col("path").rlike("^sub-") & (F.col("ext") != ".json"))).withColumn("place", F.concat_ws("/", "dir", "entities"))
+        return out.unionByName(verify.issues(bad, F.col("problem").isNotNull(), "bundle", F.col("problem"), "place"))
+    rows = reader(spark, source)
+    if "path" not in rows.columns:
+        return verify.issues(rows.limit(1), F.lit(True), "columns", F.lit("the reader gives no paths"), rows.columns[0])
+    again = rows.groupBy("path").count()
+    return verify.issues(again, F.col("count") > 1, "repeated", F.col("count"), "path")
+
+
+def _bids(spark: SparkSession, source: str, **options) -> DataFrame:
+    from siltstone.sources import bids
+
+    return bids.scan(spark, source, **options)
 
 
 def _manifest(spark: SparkSession, source: str, **options: str) -> DataFrame:
