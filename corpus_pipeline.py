@@ -3,7 +3,8 @@ data, mix to target weights, and tokenise.
 
 Every stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All accept empty tables, null cells, repeated rows and
-columns beyond COLUMNS, which they drop; texts count whole.
+columns beyond COLUMNS, which they drop; texts count whole. Each stage begins with what the driver's JVM has
+freed given back, so that the stages' plans don't add up in its memory.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import bpe, langid, neardup, pii
-from siltstone.llm.common import fold, shared_folder
+from siltstone.llm.common import fold, shared_folder, trimmed
 from siltstone.llm.queries import DEMONSTRATION_KEY, mixed_documents, tokenizer_file
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -26,6 +27,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     The model learns from the labelled documents outside the held-out fold; without any, no document has a
     language. Null lang, source and doc_id are no reason to reject; repeated rows share their fate.
     """
+    trimmed(spark)
     model = langid.learn(docs.where(fold("doc_id", 4) != 2))
     found = langid.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und'")
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
@@ -36,11 +38,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A null doc_id comes last. Null, empty and blank texts have no duplicates and stay.
     """
+    trimmed(spark)
     return neardup.deduplicated(docs.select(*COLUMNS))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with surrogates; n_chars follows the text. A null text stays null, with null n_chars; no row goes."""
+    trimmed(spark)
     found = pii.pseudonymized(docs.select(*COLUMNS), DEMONSTRATION_KEY)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -50,11 +54,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without a word are never drawn; a missing source or language is a value of its own.
     """
+    trimmed(spark)
     return mixed_documents(docs.select(*COLUMNS)).where("keep").select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, with digests of the ids and of what they decode to; null is the empty text."""
+    trimmed(spark)
     ranks, pattern = tokenizer_file()
     return bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), ranks, pattern, with_ids=True)
 

@@ -125,16 +125,17 @@ def _logistic(x: float) -> float:
 
 
 def fit(x: np.ndarray, languages: list[str]) -> Model:
-    """Learn from rows of relative frequencies and their languages."""
+    """Learn from rows of relative frequencies and their languages; ``x`` is scaled in place."""
     known = sorted(set(languages))
     model = Model()
     for language in known:
         model.families.setdefault(family_of(language), []).append(language)
     if len(known) < 2:
         return model
-    scale = 1 / (x.std(0) + 1e-4)
+    # Some columns at a time: the whole is never there twice.
+    scale = 1 / (np.concatenate([x[:, at : at + 256].std(0) for at in range(0, x.shape[1], 256)]) + 1e-4)
     mean = x.mean(0)
-    z = x - mean
+    z = np.subtract(x, mean, out=x)
     z *= scale / np.float32(np.sqrt(x.shape[1]))
     own, kin = np.array(languages), np.array([family_of(n) for n in languages])
     machines = []
@@ -183,11 +184,16 @@ def learn(df: DataFrame, text: str = "text", language: str = "lang", key: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=["lang", "i", "v"])
 
     sample = chosen.mapInArrow(run, "lang string, i array<int>, v array<float>").toArrow()
-    index, value = (sample.column(c).combine_chunks() for c in ("i", "v"))
-    row = np.repeat(np.arange(sample.num_rows), index.value_lengths().to_numpy(zero_copy_only=False))
     x = np.zeros((sample.num_rows, BUCKETS), np.float32)
-    x[row, index.flatten().to_numpy()] = value.flatten().to_numpy()
-    return fit(x, sample.column("lang").to_pylist())
+    at = 0
+    for batch in sample.to_batches():
+        index, value = batch.column("i"), batch.column("v")
+        row = np.repeat(np.arange(at, at + batch.num_rows), index.value_lengths().to_numpy(zero_copy_only=False))
+        x[row, index.flatten().to_numpy()] = value.flatten().to_numpy()
+        at += batch.num_rows
+    known = sample.column("lang").to_pylist()
+    del sample, index, value, row
+    return fit(x, known)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -236,16 +236,18 @@ def connected(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: i
         checked = stored(_verified(pairs, units), "checked")
         good = checked.where(F.col("similarity") >= similarity).select("a", "b")
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
-        # What is known to be connected is a star around its root, whatever links made it so.
-        roots = components(good if roots is None else good.unionByName(roots.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
-        parted = bucket.join(roots.withColumnRenamed("uid", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-        parted = _split(parted)
-        if width == 1:  # from here on, the buckets are exact
-            parted = _split(stored(_rare(stored(parted, "fragments"), units, similarity), "rare"))
-        parted = stored(parted, "fragments")
-        sizes = parted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("whole"))
-        most = largest.agg(F.max("whole")).first()[0] or 0
+        # Without a new link, buckets and fragments stay as they are.
+        if width == 1 or not good.isEmpty():
+            # What is known to be connected is a star around its root, whatever links made it so.
+            roots = components(good if roots is None else good.unionByName(roots.select(F.col("uid").alias("a"), F.col("root").alias("b"))))
+            parted = bucket.join(roots.withColumnRenamed("uid", "b"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+            parted = _split(parted)
+            if width == 1:  # from here on, the buckets are exact
+                parted = _split(stored(_rare(stored(parted, "fragments"), units, similarity), "rare"))
+            parted = stored(parted, "fragments")
+            sizes = parted.groupBy("key", "root").agg(F.count("*").alias("n"))
+            largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("largest"), F.sum("n").alias("whole"))
+            most = largest.agg(F.max("whole")).first()[0] or 0
         while True:
             if not most or every:
                 return classes, roots
@@ -271,12 +273,11 @@ def connected(df: DataFrame, text: str, similarity: float = SIMILARITY, bands: i
 def components(edges: DataFrame) -> DataFrame:
     """(uid, root) of every end of ``edges`` (a, b): the least uid it is connected with.
 
-    Large-star and small-star steps, each two exchanges of the edges, until nothing changes; the number
-    of rounds grows with the logarithm of the longest path. Only a sum and a count reach the driver.
+    Large-star and small-star steps, each two exchanges of the edges, until only stars are left; the number
+    of rounds grows with the logarithm of the longest path. Edges that are stars already cost no round.
     """
     edges = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         # Large star: every larger neighbour of u gets u's least neighbour.
@@ -286,10 +287,14 @@ def components(edges: DataFrame) -> DataFrame:
         low = edges.join(least, "u")
         edges = low.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         edges = stored(edges, "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
-            return edges.select(F.col("u").alias("uid"), F.col("v").alias("root"))
-        mark = now
+    return edges.select(F.col("u").alias("uid"), F.col("v").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u of ``edges`` (u > v) has one v, and no v is a u: then each v is the least of its component."""
+    end = F.explode(F.array(F.struct(F.col("u").alias("uid"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("uid"), F.lit(0).alias("up"), F.lit(1).alias("down"))))
+    ends = edges.select(end.alias("end")).groupBy("end.uid").agg((F.sum("end.up") + F.max("end.down")).alias("places"))
+    return ends.where("places > 1").isEmpty()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -1,3 +1,7 @@
+import tracemalloc
+
+import numpy as np
+
 from siltstone.llm import langid, queries
 
 
@@ -31,3 +35,17 @@ def test_no_language_is_left_out(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.learn(df, per_language=5)
     assert sorted(sum(model.families.values(), [])) == sorted({r[2] for r in rows})
+
+
+def test_fit_holds_its_sample_once():
+    rng = np.random.default_rng(5)
+    x = rng.random((1000, langid.BUCKETS), np.float32)
+    x[::2, 7] += 3
+    held = x.copy()
+    tracemalloc.start()
+    model = langid.fit(x, ["en", "fr"] * 500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < held.nbytes / 2
+    head = model.heads.index(("germanic", "", ""))
+    assert (((held @ model.weights + model.bias)[:, head] > 0) == (np.arange(1000) % 2 == 0)).mean() > 0.99

@@ -111,3 +111,12 @@ def test_members_that_are_never_heads_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(neardup.F, "pmod", lambda a, b: neardup.F.lit(0))
     got = neardup.near_duplicates(df, bands=8, rows=1).collect()
     assert as_sets([r.doc_id for r in got], [r.class_id for r in got]) == as_sets(range(len(rows)), brute(rows))
+
+
+def test_stars_cost_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(neardup, "stored", lambda df, what, of=neardup.stored: written.append(what) or of(df, what))
+    stars = spark.createDataFrame([(1, k) for k in range(2, 40)] + [(50, 60), (61, 50), (7, 7)], "a long, b long")
+    assert {r.uid: r.root for r in neardup.components(stars).collect()} == {k: 1 for k in range(2, 40)} | {60: 50, 61: 50}
+    assert written == ["edges"]
+    assert neardup.components(stars.limit(0)).count() == 0
