@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from siltstone.llm.common import batches_of, bound_batches, free_name
 
-#: Entries of a worker's cache of encoded chunks (some 170 MB); it is emptied when full.
+#: Entries of a worker's cache of encoded chunks (the ids of each as text); it is emptied when full.
 CACHE_ENTRIES = 500_000
 
 #: Pieces up to this many bytes are encoded side by side in arrays, longer ones alone.
@@ -77,11 +77,15 @@ class PrefixCoder:
         self.spaced = pattern == SPACED
         self._halves: dict[int, tuple[int, int]] = {}
         self._fits: dict[int, bool] = {}
-        self._cache: dict[str, tuple[str, int, bytes]] = {}
+        self._cache: dict[str, str] = {}
         self._decimal = {rank: str(rank) for rank in self.tokens}
         self.trie = Trie(ranks)
         self.sizes = np.zeros(max(self.tokens, default=0) + 1, np.int64)
         self.sizes[list(self.tokens)] = [len(t) for t in self.tokens.values()]
+        # Every pair of tokens whose bytes together are a token, and that token's rank.
+        met = sorted((ranks[t[:k]] << 24 | ranks[t[k:]], rank) for t, rank in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks)
+        self._met_key, self._met_rank = np.array(met or [(-1, 0)], np.int64).T.copy()
+        self._left, self._right = np.full((2, len(self.sizes)), -1, np.int64)  # halves, filled as they are asked for
         self._pair_key = np.full(1 << PAIR_BITS, -1, np.int64)
         self._pair_good = np.zeros(1 << PAIR_BITS, bool)
 
@@ -195,24 +199,45 @@ class PrefixCoder:
         return ([head] if head else []) + [" " + c for c in rest]
 
     def remember(self, chunks: set[str]) -> dict[str, tuple[str, int, bytes]]:
-        """The cache, with every one of ``chunks`` in it: (ids as text, their number, their bytes)."""
-        new = [c for c in chunks if c not in self._cache]
-        if len(self._cache) + len(new) > CACHE_ENTRIES:
-            self._cache.clear()
-            new = list(chunks)
-        pieces, counts = [], []
+        """(ids as text, their number, their bytes) of every one of ``chunks``."""
+        known = self.ids_of(chunks)
+        ids = {c: [int(i) for i in known[c].split(",")] if c else [] for c in chunks}
+        return {c: (known[c], len(i), self.decode(i)) for c, i in ids.items()}
+
+    def ids_of(self, chunks: set[str]) -> dict[str, str]:
+        """The cache, with every one of ``chunks`` in it: its ids as text, which decode to its very bytes."""
+        cache, words, tokens, ranks = self._cache, self._decimal, self.tokens, self.ranks
+        new = chunks.difference(cache)
+        if len(cache) + len(new) > CACHE_ENTRIES:
+            cache.clear()
+            new = chunks
+        todo, pieces, counts = [], [], []
         for chunk in new:
             # isalpha is \\p{L}+, so such a chunk is one match
-            found = [chunk] if not self.spaced or chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()) else self.find(chunk)
-            pieces += found
-            counts.append(len(found))
-        encoded = self.encode_many([p.encode() for p in pieces])
-        words, tokens, at = self._decimal, self.tokens, 0
-        for chunk, count in zip(new, counts, strict=True):
+            if not self.spaced or chunk[1:].isalpha() and (chunk[0] == " " or chunk[0].isalpha()):
+                data = chunk.encode()
+                token = ranks.get(data)
+                if token is not None:
+                    if tokens[token] != data:
+                        raise ValueError(f"token {token} decodes to other bytes")
+                    cache[chunk] = words[token]
+                    continue
+                pieces.append(data)
+                counts.append(1)
+            else:
+                found = self.find(chunk)
+                pieces += [p.encode() for p in found]
+                counts.append(len(found))
+            todo.append(chunk)
+        encoded = self.encode_many(pieces)
+        at = 0
+        for chunk, count in zip(todo, counts, strict=True):
             ids = encoded[at] if count == 1 else [i for piece in encoded[at : at + count] for i in piece]
             at += count
-            self._cache[chunk] = (",".join([words[i] for i in ids]), len(ids), b"".join([tokens[i] for i in ids]))
-        return self._cache
+            if b"".join([tokens[i] for i in ids]) != chunk.encode():
+                raise ValueError(f"the ids of {chunk!r} decode to other bytes")
+            cache[chunk] = ",".join([words[i] for i in ids])
+        return cache
 
     def encode_many(self, pieces: list[bytes]) -> list[list[int]]:
         """encode_piece of many pieces, their prefix tables filled side by side."""
@@ -285,15 +310,35 @@ class PrefixCoder:
         slot = (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PAIR_BITS)
         found = self._pair_key[slot] == pairs
         good = self._pair_good[slot] & found
-        answers: dict[int, bool] = {}
-        for pair in np.unique(pairs[~found]).tolist():
-            s = ((pair * 0x9E3779B97F4A7C15) & (2**64 - 1)) >> (64 - PAIR_BITS)
-            answer = self._apart(pair >> 24, pair & 0xFFFFFF)
-            self._pair_key[s], self._pair_good[s] = pair, answer
-            answers[pair] = answer
-        if answers:
-            missed = np.flatnonzero(~found)
-            good[missed] = [answers[p] for p in pairs[missed].tolist()]
+        missed = np.flatnonzero(~found)
+        if len(missed):
+            asked, which = np.unique(pairs[missed], return_inverse=True)
+            answer = self._apart_many(asked >> 24, asked & 0xFFFFFF)
+            good[missed] = answer[which]
+            # The last of those in one slot stays, key and answer alike.
+            slot, last = np.unique(slot[missed][::-1], return_index=True)
+            last = len(missed) - 1 - last
+            self._pair_key[slot], self._pair_good[slot] = pairs[missed[last]], good[missed[last]]
+        return good
+
+    def _apart_many(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """_apart of many pairs, undone side by side."""
+        good = np.ones(len(left), bool)
+        live, a, b, before = np.arange(len(left)), left, right, np.full(len(left), 1 << 62)
+        while len(live):
+            key = a << 24 | b
+            at = np.minimum(np.searchsorted(self._met_key, key), len(self._met_key) - 1)
+            bad = (self._met_key[at] == key) & (self._met_rank[at] < before)
+            good[live[bad]] = False
+            la, lb = self.sizes[a] > 1, self.sizes[b] > 1
+            on = ~bad & (la | lb)
+            live, a, b, la, lb = live[on], a[on], b[on], la[on], lb[on]
+            undo = la & (~lb | (a > b))
+            whole = np.where(undo, a, b)
+            for token in np.unique(whole[self._left[whole] < 0]).tolist():
+                self._left[token], self._right[token] = self.halves(token)
+            before = np.where(undo, a, b + 1)
+            a, b = np.where(undo, self._right[whole], a), np.where(undo, b, self._left[whole])
         return good
 
 
@@ -381,15 +426,15 @@ def encode_decode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text",
         for batch in batches:
             counts, shas, decoded, ids = [], [], [], []
             texts = [coder.chunks(value) for value in batches_of(batch.column(batch.schema.get_field_index(text)))]
-            known = coder.remember({c for chunks in texts for c in chunks})
+            known = coder.ids_of(set().union(*texts)).__getitem__
             for chunks in texts:
-                found = [known[c] for c in chunks]
-                joined = ",".join([f[0] for f in found])
-                counts.append(sum([f[1] for f in found]))
+                joined = ",".join(map(known, chunks))
+                counts.append(joined.count(",") + 1 if joined else 0)
                 shas.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([f[2] for f in found])).hexdigest())
+                # Every chunk's ids were decoded to its own bytes, so all ids decode to those of all chunks.
+                decoded.append(hashlib.sha256("".join(chunks).encode()).hexdigest())
                 if with_ids:
-                    ids.append(np.array(joined.split(","), np.int32) if joined else np.empty(0, np.int32))
+                    ids.append(np.fromstring(joined, np.int32, sep=",") if joined else np.empty(0, np.int32))
             arrays = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             arrays += [pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())]
             if with_ids:

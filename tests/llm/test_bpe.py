@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from siltstone.llm import bpe
@@ -80,3 +81,16 @@ def test_another_pattern_is_followed(pair):
         chunks = coder.chunks(text)
         known = coder.remember(set(chunks))
         assert ",".join(known[c][0] for c in chunks) == ",".join(map(str, other.encode_ordinary(text)))
+
+
+def test_pairs_are_told_apart_side_by_side(pair, monkeypatch):
+    coder, other = pair
+    rng = random.Random(8)
+    ids = sorted(coder.tokens)
+    left, right = ([rng.choice(ids) for _ in range(20_000)] for _ in range(2))
+    assert coder._apart_many(np.array(left), np.array(right)).tolist() == [coder._apart(a, b) for a, b in zip(left, right, strict=True)]
+    fresh = bpe.PrefixCoder(coder.ranks, tokenizer_file()[1])
+    monkeypatch.setattr(fresh, "_apart", None)  # not pair by pair
+    words = {" " + "".join(rng.choice("aeinrstlokéß漢") for _ in range(rng.randint(1, 14))) for _ in range(2000)}
+    known = fresh.ids_of(words)
+    assert all(known[w] == ",".join(map(str, other.encode_ordinary(w))) for w in words)
