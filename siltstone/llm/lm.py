@@ -18,6 +18,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +90,19 @@ class Vocabulary:
 
     def read(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(carried index or -1, symbol) of each word."""
-        get = self.index.get
-        at = np.array([get(w, -1) for w in words], np.int64)
+        at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         symbol = self.symbol[at] if len(self.symbol) else np.zeros(len(at), np.int64)
-        for k in np.flatnonzero(at < 0).tolist():
-            symbol[k] = 1 + self.own + class_of(words[k])
+        other = np.flatnonzero(at < 0)
+        symbol[other] = 1 + self.own + np.fromiter((class_of(words[k]) for k in other.tolist()), np.int64, len(other))
         return at, symbol
 
+    def read_all(self, texts: list[list[bytes]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """read of many texts at once: a lookup of all words together, cut by text again."""
+        at, symbol = self.read(list(chain.from_iterable(texts)))
+        ends = list(accumulate(map(len, texts), initial=0))
+        cuts = list(pairwise(ends))
+        return [at[lo:hi] for lo, hi in cuts], [symbol[lo:hi] for lo, hi in cuts]
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     """The bounded summary of a counts table; its other rows stay where they are.
@@ -152,7 +159,8 @@ class LogBilinear:
 
 def contexts(symbols: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(h2, h1, w) of every token of documents given as symbols; ends stand before each document's start."""
-    stream = np.concatenate([np.concatenate([[0, 0], s, [0]]) for s in symbols]) if symbols else np.zeros(0, np.int64)
+    start, end = np.zeros(2, np.int64), np.zeros(1, np.int64)
+    stream = np.concatenate([part for s in symbols for part in (start, s, end)]) if symbols else np.zeros(0, np.int64)
     keep = np.ones(len(stream), bool)
     starts = np.cumsum([0] + [len(s) + 3 for s in symbols])[:-1]
     keep[starts] = keep[starts + 1] = False
@@ -230,7 +238,7 @@ def _trained(df: DataFrame, vocab: Vocabulary, text: str = "text", rounds: int =
             vocab = carried.value
             trainer = Trainer(shared.value, vocab, seed=turn)
             for batch in batches:
-                symbols = [vocab.read(words_of(t))[1] for t in batch.column(0).to_pylist()]
+                symbols = vocab.read_all([words_of(t) for t in batch.column(0).to_pylist()])[1]
                 h2, h1, w = contexts(symbols)
                 order = trainer.rng.permutation(len(w))
                 for at in range(0, len(w), STEP):
@@ -290,10 +298,10 @@ def score(df: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinea
         in_class = np.concatenate([np.zeros(1 + vocab.own), -np.log10(vocab.class_weight)])
         for batch in batches:
             kind = pa.struct([("key", batch.schema.field(2).type), *numbers])
-            uids, sizes, symbols, rare, cores = batch.column(0).to_pylist(), [], [], [], []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                at, symbol = vocab.read(words)
+            uids, sizes, rare, cores = batch.column(0).to_pylist(), [], [], []
+            texts = [words_of(text) for text in batch.column(1).to_pylist()]
+            places, symbols = vocab.read_all(texts)
+            for words, at, symbol in zip(texts, places, symbols, strict=True):
                 seen = at >= 0
                 logs = known[at[seen]]
                 # log10 of (c + 1) counts towards the base, and inside a class towards the model too
@@ -301,7 +309,6 @@ def score(df: DataFrame, counts: DataFrame, vocab: Vocabulary, model: LogBilinea
                 base = float(logs.sum()) - len(words) * np.log10(whole) + end
                 cores.append([len(words) + 1, int((vocab.counts[at[seen]] > 0).sum()) + (vocab.ends > 0), base, inside + float(in_class[symbol].sum())])
                 rare.append(Counter([words[k] for k in np.flatnonzero(~seen).tolist()]))
-                symbols.append(symbol)
                 sizes.append(len(words) + 1)
             h2, h1, w = contexts(symbols)
             log = (near[h1, w].astype(np.float64) + far[h2, w] - normal[h1, h2]) / np.log(10)

@@ -107,3 +107,16 @@ def test_odd_rows(spark):
     counts, vocab, model = lm.learn(df.limit(0))
     assert [r.base_score for r in lm.score(df, counts, vocab, model).collect()] == [0.0] * 5
     assert lm.score(df.limit(0), counts, vocab, model).count() == 0
+
+
+def test_a_batch_is_looked_up_at_once(monkeypatch):
+    words = [b"w%d" % k for k in range(3000)]
+    vocab = lm.Vocabulary(3001, 3001, words, np.arange(3000, 0, -1), 5)
+    texts = [[], [b"w1", b"x", b"w2999"], [b"w2"], [], [b"yy"] * 3]
+    want = [vocab.read(t) for t in texts]
+    calls = []
+    monkeypatch.setattr(lm.Vocabulary, "read", lambda self, words, of=lm.Vocabulary.read: calls.append(len(words)) or of(self, words))
+    places, symbols = vocab.read_all(texts)
+    assert calls == [7]
+    assert [p.tolist() for p in places] == [a.tolist() for a, _ in want] and [s.tolist() for s in symbols] == [b.tolist() for _, b in want]
+    assert [len(p) for p in vocab.read_all([[], []])[0]] == [0, 0] and vocab.read_all([]) == ([], [])
