@@ -8,8 +8,6 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from py4j.protocol import Py4JError
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,21 +49,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def trimmed(spark: SparkSession) -> bool:
-    """Give memory that the driver's JVM has freed back to the system; False where it has no such command.
-
-    Each of its threads frees to an arena of its own, and the C library keeps those (some 200 MB of a driver
-    that has planned a pipeline).
-    """
-    try:
-        jvm = spark.sparkContext._jvm
-        command = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
-        jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer().invoke(command, "systemTrimNativeHeap", None, None)
-    except (Py4JError, PySparkException):  # an older JVM, another C library, or a remote driver
-        return False
-    return True
-
-
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``rows`` left-joined to ``table``, which has each key once, without a hot key's rows in one task.
 
