@@ -61,11 +61,22 @@ def safe_uri(uri: Column) -> Column:
     return F.when(scheme != "", F.concat(F.lower(scheme), host, F.regexp_replace(rest, r"^[^/]*", ""))).otherwise(uri)
 
 
-def byte_size(n: Column) -> Column:
-    """Bytes for people: steps of 1024 up to GB, one decimal above B."""
+def byte_size(n: Column, largest: str = "GB") -> Column:
+    """Bytes for people: steps of 1024 up to GB or the largest unit given, one decimal above B; of null, null."""
     x = n.cast("double")
-    step = lambda p, unit: F.concat(F.format_string("%.1f", F.bround(x / float(1024**p), 1)), F.lit(f" {unit}"))
-    return F.when(x < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B"))).when(x < 1024**2, step(1, "KB")).when(x < 1024**3, step(2, "MB")).otherwise(step(3, "GB"))
+
+    def step(p: int, unit: str) -> Column:
+        # The part below one has few enough bits for exact tenths, so only true ties go to the even one.
+        y = x / float(1024**p)
+        tenths = F.rint((y - F.floor(y)) * 10).cast("bigint")
+        return F.concat((F.floor(y) + F.floor(tenths / 10)).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))
+
+    powers = {"KB": 1, "MB": 2, "GB": 3}
+    size = F.when(x < 1024, F.concat(n.cast("bigint").cast("string"), F.lit(" B")))
+    for unit, p in powers.items():
+        if p < powers[largest]:
+            size = size.when(x < 1024 ** (p + 1), step(p, unit))
+    return size.when(x.isNotNull(), step(powers[largest], largest))
 
 
 def shared_segments(a: Column, b: Column) -> Column:
